@@ -100,8 +100,14 @@ def passport_name(body: Column, lines: Column) -> Column:
 
 
 def _sex_word(raw: Column, other: str) -> Column:
-    word = F.upper(first_match(raw, rf"(?i)\b(MALE|FEMALE|{other})\b"))
-    return F.when(word == "MALE", "M").when(word == "FEMALE", "F").when(word.isNotNull(), "X")
+    return F.upper(first_match(raw, rf"(?i)\b(MALE|FEMALE|{other})\b"))
+
+
+def _sex_code(word: Column) -> Column:
+    """Printed words and letters to M, F, X; words of a third gender are X."""
+    return (
+        F.when(word.isin("MALE", "M"), "M").when(word.isin("FEMALE", "F"), "F").when(word.isNotNull(), "X")
+    )
 
 
 def _with_lines(docs: DataFrame) -> DataFrame:
@@ -144,8 +150,9 @@ def extract_fields(docs: DataFrame) -> DataFrame:
     under = lambda label, unless=(): value_after_label(body, label, unless)
     fuzzy = lambda label, words: F.coalesce(under(label), value_after_fuzzy_label(lines, words))
     licence = F.concat(*(F.regexp_extract(upper, fixed.LICENCE_PATTERN, g) for g in range(1, 5)))
-    sexe = F.upper(F.substring(under(r"\bSEXE\b"), 1, 1))
 
+    # First the printed values, then what is read out of them: a value used
+    # several times is named once and not repeated inside other expressions.
     columns = {
         "document_number": per_type(
             {
@@ -189,47 +196,49 @@ def extract_fields(docs: DataFrame) -> DataFrame:
         "date_of_birth": per_type(
             {
                 AADHAAR: aadhaar_birth_date(lines),
-                PASSPORT: printed_date(under(r"\bNAISSANCE\b")),
+                PASSPORT: under(r"\bNAISSANCE\b"),
             },
-            printed_date(under(r"\bDATE OF BIRTH\b")),
+            under(r"\bDATE OF BIRTH\b"),
         ),
-        "date_of_issue": printed_date(
-            per_type(
-                {
-                    LICENCE: fuzzy(r"\bVALID FROM\b", ["VALID", "FROM"]),
-                    (VISA, PERMIT): under(r"\bDATE OF ISSUE\b"),
-                }
-            )
+        "date_of_issue": per_type(
+            {
+                LICENCE: fuzzy(r"\bVALID FROM\b", ["VALID", "FROM"]),
+                (VISA, PERMIT): under(r"\bDATE OF ISSUE\b"),
+            }
         ),
-        "date_of_expiry": printed_date(
-            per_type(
-                {
-                    LICENCE: fuzzy(r"\bVALID TILL\b", ["VALID", "TILL"]),
-                    PERMIT: fuzzy(r"\bDATE OF EXPIRY\b", ["DATE", "OF", "EXPIRY"]),
-                    PASSPORT: under(r"EXPIRATION\b"),
-                }
-            )
+        "date_of_expiry": per_type(
+            {
+                LICENCE: fuzzy(r"\bVALID TILL\b", ["VALID", "TILL"]),
+                PERMIT: fuzzy(r"\bDATE OF EXPIRY\b", ["DATE", "OF", "EXPIRY"]),
+                PASSPORT: under(r"EXPIRATION\b"),
+            }
         ),
         "sex": per_type(
             {
                 AADHAAR: _sex_word(raw, "TRANSGENDER"),
                 VOTER: _sex_word(raw, "THIRD GENDER"),
-                PASSPORT: F.when(sexe.isin("M", "F", "X"), sexe),
+                PASSPORT: F.nullif(
+                    F.regexp_extract(F.upper(under(r"\bSEXE\b")), "^[MFX]", 0), F.lit("")
+                ),
             }
         ),
         "visa_type": per_type({VISA: under(r"\bVISA TYPE\b")}),
         "entry_validation": per_type({VISA: under(r"\bENTRY VALIDATION\b")}),
-        "stay_duration_until": per_type({VISA: printed_date(under(r"\bSTAY DURATION\b"))}),
+        "stay_duration_until": per_type({VISA: under(r"\bSTAY DURATION\b")}),
         "permit_type": per_type({PERMIT: under(r"\bPERMIT TYPE\b")}),
         "issuing_authority": per_type({PERMIT: under(r"\bISSUING AUTHORITY\b")}),
     }
     keep = [c for c in docs.columns if c != "raw_text" and c not in FIELDS]
-    return d.select(
+    printed = d.select(
         *keep,
         "document_type",
         *[columns[name].alias(name) for name in FIELDS[1:]],
         F.when(failed, "FAILED").otherwise("OK").alias("ocr_status"),
     )
+    dates = ("date_of_birth", "date_of_issue", "date_of_expiry", "stay_duration_until")
+    return printed.withColumns(
+        {**{name: printed_date(F.col(name)) for name in dates}, "sex": _sex_code(F.col("sex"))}
+    )
 
 
 def ocr_confidence(words: DataFrame) -> DataFrame:

@@ -47,8 +47,13 @@ def parse_mrz_lines(
         *[F.when(F.col("_fmt") == name, F.lit(size)) for name, size in WIDTH.items()]
     )
     sources = {1: F.col(line1), 2: F.col(line2), 3: F.col(line3) if line3 else F.lit(None).cast("string")}
-    for n, source in sources.items():
-        staged = staged.withColumn(f"_l{n}", zone.restore_length(zone.clean_line(source), width))
+    # Each stage names what the next one uses several times, so that no expression
+    # is repeated inside another and generated code stays small.
+    staged = staged.withColumn("_width", width)
+    staged = staged.withColumns({f"_c{n}": zone.clean_line(source) for n, source in sources.items()})
+    staged = staged.withColumns(
+        {f"_l{n}": zone.restore_length(F.col(f"_c{n}"), F.col("_width")) for n in sources}
+    )
 
     def cut(name: str) -> Column:
         pieces = [
@@ -60,9 +65,8 @@ def parse_mrz_lines(
 
     numeric = ("birth", "birth_cd", "expiry", "expiry_cd", "number_cd", "composite_cd")
     plain = ("number", "nationality", "sex", "optional1", "optional2", "names")
-    staged = staged.withColumns(
-        {f"_{n}": zone.as_digits(cut(n)) for n in numeric} | {f"_{n}": cut(n) for n in plain}
-    )
+    staged = staged.withColumns({f"_{n}": cut(n) for n in numeric + plain})
+    staged = staged.withColumns({f"_{n}": zone.as_digits(F.col(f"_{n}")) for n in numeric})
     c = lambda n: F.col(f"_{n}")
 
     def payload(opt1: Column, opt2: Column) -> Column:
@@ -120,14 +124,17 @@ def parse_mrz_lines(
         c("sums").alias("checksums"),
         F.forall(c("sums"), lambda s: s["valid"]).alias("is_valid"),
     )
-    present = c("fmt").isNotNull() & c("l1").isNotNull() & c("l2").isNotNull()
-    present = present & ((c("fmt") != "TD1") | c("l3").isNotNull())
+    present = c("fmt").isNotNull() & sources[1].isNotNull() & sources[2].isNotNull()
+    present = present & ((c("fmt") != "TD1") | sources[3].isNotNull())
     return staged.withColumn("mrz", F.when(present, body)).select(*[x for x in df.columns if x != "mrz"], "mrz")
 
 
 def checksums_long(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per (document, checksum field)."""
-    return parsed.select(key, F.posexplode("mrz.checksums").alias("pos", "c")).select(
+    # The outer form keeps the optimizer from testing the array's size first, which
+    # would parse every line twice.
+    long = parsed.select(key, F.posexplode_outer("mrz.checksums").alias("pos", "c")).where("pos is not null")
+    return long.select(
         key,
         (F.col("pos") + 1).alias("checksum_no"),
         F.col("c.field").alias("field"),

@@ -424,10 +424,10 @@ def _(lines):
 
 
 @add("c5_parse_td3", ["fx_mrz_ocr"],
-     f"""select doc_id, {', '.join(SUMMARY)} from ({parsed_sql("select doc_id, ocr1 as raw1, ocr2 as raw2, '' as raw3 from @fx_mrz_ocr m where ocr2 is not null", "TD3", "doc_id")}) p""")
+     f"""select doc_id, {', '.join(SUMMARY)} from ({parsed_sql("select doc_id, ocr1 as raw1, ocr2 as raw2, '' as raw3 from @fx_mrz_ocr m where ocr2 is not null", "TD3", "doc_id")}) p
+ union all select doc_id, {', '.join('null' for _ in SUMMARY)} from @fx_mrz_ocr m where ocr2 is null""")
 def _(lines):
-    # A page without a second line has no zone to parse.
-    return mrz.parse_mrz_lines(lines, "TD3", "ocr1", "ocr2").where("mrz is not null").select("doc_id", *summary_columns())
+    return mrz.parse_mrz_lines(lines, "TD3", "ocr1", "ocr2").select("doc_id", *summary_columns())
 
 
 # The same holders on three-line cards and two-line visas.
