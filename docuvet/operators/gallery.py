@@ -27,16 +27,21 @@ BLOCK_ROWS = 4096
 MAX_PIVOTS = 256
 
 
-def _unit(rows) -> np.ndarray:
-    m = np.asarray(list(rows), dtype=np.float64)
-    if m.size == 0:
-        return m.reshape(0, 0)
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(norms == 0, 1.0, norms)
+def _kernels():
+    """Array helpers as closures: they travel with the tasks that use them, so
+    executors need NumPy but not this package."""
 
+    def unit(rows) -> np.ndarray:
+        m = np.asarray(list(rows), dtype=np.float64)
+        if m.size == 0:
+            return m.reshape(0, 0)
+        norms = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(norms == 0, 1.0, norms)
 
-def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
+    def angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
+
+    return unit, angles
 
 
 def _usable(df: DataFrame, vector: str) -> DataFrame:
@@ -69,12 +74,13 @@ def gallery_best_match(
     if not pivot_rows:
         return left.select("case_id", F.lit(None).cast("long").alias("match_case_id"),
                            F.lit(None).cast("double").alias("similarity")).limit(0)
-    pivots = _unit(r["embedding"] for r in pivot_rows)
+    unit, angles_to = _kernels()
+    pivots = unit(r["embedding"] for r in pivot_rows)
     reach = math.acos(max(-1.0, min(1.0, 2.0 * threshold - 1.0))) + 1e-9
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            angles = _angles(_unit(batch.column("embedding").to_pylist()), pivots)
+            angles = angles_to(unit(batch.column("embedding").to_pylist()), pivots)
             cell = angles.argmin(axis=1) if len(angles) else np.empty(0, dtype=np.int64)
             own = angles[np.arange(len(cell)), cell] if len(angles) else np.empty(0)
             yield pa.RecordBatch.from_arrays(
@@ -104,7 +110,7 @@ def gallery_best_match(
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            angles = _angles(_unit(batch.column("embedding").to_pylist()), pivots)
+            angles = angles_to(unit(batch.column("embedding").to_pylist()), pivots)
             angles = angles[:, ids] if len(angles) else np.empty((0, len(ids)))
             gap = np.maximum(np.maximum(angles - highs, lows - angles), 0.0)
             reachable = [ids[row <= reach].tolist() for row in gap]
@@ -134,7 +140,7 @@ def gallery_best_match(
         if probe.empty or block.empty:
             return pd.DataFrame({"case_id": [], "match_case_id": [], "similarity": []})
         block = block.sort_values("case_id", kind="stable")
-        scores = np.clip((_unit(probe["embedding"]) @ _unit(block["embedding"]).T + 1.0) / 2.0, 0.0, 1.0)
+        scores = np.clip((unit(probe["embedding"]) @ unit(block["embedding"]).T + 1.0) / 2.0, 0.0, 1.0)
         barred = probe["case_id"].to_numpy()[:, None] == block["case_id"].to_numpy()[None, :]
         if exclude:
             barred |= probe["grp"].to_numpy()[:, None] == block["grp"].to_numpy()[None, :]

@@ -23,25 +23,29 @@ def _tail() -> Column:
     return payload_tail(F.col("case_id"), F.col("action"), F.col("actor"), F.col("event_ts"), F.col("metadata"))
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Carry the running hash through a sorted partition, batch by batch."""
-    chain, head = object(), None
-    for batch in batches:
-        chains = batch.column("chain_id").to_pylist()
-        heads = batch.column("_head").to_pylist()
-        tails = batch.column("_tail").to_pylist()
-        previous, sealed = [], []
-        for c, start, tail in zip(chains, heads, tails):
-            if c != chain:
-                chain, head = c, start
-            previous.append(head)
-            head = hashlib.sha256(f"{head}|{tail}".encode()).hexdigest()
-            sealed.append(head)
-        keep = [n for n in batch.schema.names if n not in ("_head", "_tail")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(n) for n in keep] + [pa.array(previous, pa.string()), pa.array(sealed, pa.string())],
-            names=keep + ["previous_hash", "entry_hash"],
-        )
+def _folder():
+    """The running-hash fold, as a closure that travels with its tasks."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, head = object(), None
+        for batch in batches:
+            chains = batch.column("chain_id").to_pylist()
+            heads = batch.column("_head").to_pylist()
+            tails = batch.column("_tail").to_pylist()
+            previous, sealed = [], []
+            for c, start, tail in zip(chains, heads, tails):
+                if c != chain:
+                    chain, head = c, start
+                previous.append(head)
+                head = hashlib.sha256(f"{head}|{tail}".encode()).hexdigest()
+                sealed.append(head)
+            keep = [n for n in batch.schema.names if n not in ("_head", "_tail")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(n) for n in keep] + [pa.array(previous, pa.string()), pa.array(sealed, pa.string())],
+                names=keep + ["previous_hash", "entry_hash"],
+            )
+
+    return fold
 
 
 def seal_events(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
@@ -64,7 +68,7 @@ def seal_events(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     kept = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema if f.name not in ("_head", "_tail")
     )
-    return ordered.mapInArrow(_fold, f"{kept}, previous_hash string, entry_hash string")
+    return ordered.mapInArrow(_folder(), f"{kept}, previous_hash string, entry_hash string")
 
 
 def positions(ledger: DataFrame, span: str = "hour") -> DataFrame:
