@@ -60,7 +60,7 @@ def step_latency(audit: DataFrame) -> DataFrame:
     stamps = (
         audit.where(F.col("action").isin(*actions))
         .groupBy("case_id")
-        .agg(*[F.max(F.when(F.col("action") == a, F.unix_micros("event_ts"))).alias(a) for a in actions])
+        .agg(*[F.max(F.when(F.col("action") == a, F.unix_micros(F.col("event_ts").cast("timestamp")))).alias(a) for a in actions])
         .where(F.col("FACE_VERIFIED").isNotNull())
     )
     spans = []

@@ -375,7 +375,7 @@ TEXTS["fx_decisions"] = """
 select o_orderkey as case_id, event_id as decision_seq, ts as decided_at,
  case event_type when 'click' then 'CLEARED' when 'view' then 'ESCALATED' when 'purchase' then 'REQUIRES_INSPECTION' else 'MAYBE' end as decision,
  'note ' || cast(event_id as string) as notes, 'OFFICER-' || cast(user_id % 20 as string) as officer
-from {events} join {orders} on o_orderkey = event_id
+from {events} join {orders} on o_orderkey = cast(floor(event_id / 2) as bigint)
 """
 
 
