@@ -126,14 +126,15 @@ def parse_mrz_lines(
     )
     present = c("fmt").isNotNull() & sources[1].isNotNull() & sources[2].isNotNull()
     present = present & ((c("fmt") != "TD1") | sources[3].isNotNull())
-    return staged.withColumn("mrz", F.when(present, body)).select(*[x for x in df.columns if x != "mrz"], "mrz")
+    # Exploding a one-element array keeps the row as it is, and keeps filters on the
+    # parsed fields above the parse: pushed below it, they would repeat every stage.
+    kept = [x for x in df.columns if x != "mrz"]
+    return staged.select(*kept, F.explode(F.array(F.when(present, body))).alias("mrz"))
 
 
 def checksums_long(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per (document, checksum field)."""
-    # The outer form keeps the optimizer from testing the array's size first, which
-    # would parse every line twice.
-    long = parsed.select(key, F.posexplode_outer("mrz.checksums").alias("pos", "c")).where("pos is not null")
+    long = parsed.select(key, F.posexplode("mrz.checksums").alias("pos", "c"))
     return long.select(
         key,
         (F.col("pos") + 1).alias("checksum_no"),

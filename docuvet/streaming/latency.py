@@ -15,7 +15,7 @@ def case_steps(events: DataFrame, window: str) -> DataFrame:
     """Per window and case, the milliseconds of each completed step."""
     stamps = events.where(F.col("action").isin(*_actions())).groupBy(
         F.window("event_ts", window).alias("w"), "case_id"
-    ).agg(*[F.max(F.when(F.col("action") == a, F.unix_micros(F.col("event_ts").cast("timestamp")))).alias(a) for a in _actions()])
+    ).agg(*[F.max(F.when(F.col("action") == a, F.unix_micros("event_ts"))).alias(a) for a in _actions()])
     steps = []
     for start, end, label in fixed.LATENCY_STEPS:
         took = F.col(end) - F.col(start)
@@ -34,6 +34,7 @@ def stream_step_latency(events: DataFrame, window: str = "1 day", late: str = "2
     it; state for older windows is discarded. ``static`` runs the same logic on a
     bounded table.
     """
+    events = events.withColumn("event_ts", F.col("event_ts").cast("timestamp"))
     if static:
         source = events.dropDuplicates(["seq"])
     else:
