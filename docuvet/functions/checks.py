@@ -33,7 +33,6 @@ def evidence(
     return F.when(~empty, body)
 
 
-NO_EVIDENCE = evidence()
 
 
 def check(
@@ -52,6 +51,6 @@ def check(
         F.when(failed, lit(severity)).cast("string").alias("severity"),
         lit(confidence).cast("double").alias("confidence"),
         lit(explanation).cast("string").alias("explanation"),
-        (proof if proof is not None else NO_EVIDENCE).alias("evidence"),
+        (evidence() if proof is None else proof).alias("evidence"),
         F.when(failed, lit(score_impact).cast("double")).otherwise(F.lit(0.0)).alias("score_impact"),
     )
