@@ -1,86 +1,56 @@
 """Metaphone as a plain column expression.
 
-Follows the rules Lawrence Philips published in 1990. Each letter's contribution
-depends only on its neighbours, so the code is a transform over positions and
-needs no Python worker.
+Follows the rules Lawrence Philips published in 1990. A letter's contribution
+depends only on its neighbours, so every position is coded from a window of five
+letters (one before, three after) by the first pattern that fits. No Python
+worker is involved.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-
-def metaphone(word: Column) -> Column:
-    """Metaphone code of an upper-case word made of A-Z."""
-    # The one-element transform binds the prepared word once for all positions.
-    return F.get(F.transform(F.array(_prepared(F.upper(word))), _code_of), F.lit(0))
+# Window pattern -> code. A blank stands for the word's edge; the letter coded is
+# the second of the window.
+WINDOW_CODES = {
+    r"^.C(IA|H)": "X",
+    r"^SC[EIY]": "",
+    r"^.(C[EIY]|S(?!H|I[OA])|Z)": "S",
+    r"^.(S(H|I[OA])|TI[OA])": "X",
+    r"^(MB |.GH[^AEIOU]|.GN( |ED)|DG[EIY]|[CSPTG]H|.H[^AEIOU]|CK|.TCH|.[WY][^AEIOU])": "",
+    r"^(.DG[EIY]|[^G]G[EIY])": "J",
+    r"^.[CGKQ]": "K",
+    r"^.TH": "0",
+    r"^.[DT]": "T",
+    r"^.(PH|V)": "F",
+    r"^.X": "KS",
+}
 
 
-def _prepared(w: Column) -> Column:
-    """Initial-letter exceptions."""
-    rest = lambda n: F.substring(w, F.lit(n), F.length(w))
-    return (
-        F.when(w.rlike("^(AE|GN|KN|PN|WR)"), rest(2))
-        .when(w.startswith("X"), F.concat(F.lit("S"), rest(2)))
-        .when(w.startswith("WH"), F.concat(F.lit("W"), rest(3)))
-        .otherwise(w)
+def metaphone(word: Column) -> Column:
+    """Metaphone code of a word made of A-Z."""
+    w = F.regexp_replace(F.upper(word), "^(A(?=E)|[GKP](?=N)|W(?=R))", "")
+    w = F.regexp_replace(F.regexp_replace(w, "^X", "S"), "^WH", "W")
+    # The one-element transform names the padded word once for all positions.
+    return F.get(F.transform(F.array(F.concat(F.lit(" "), w, F.lit("   "))), _code_of), F.lit(0))
+
+
+def _code_of(padded: Column) -> Column:
+    letters = F.length(padded) - 4
+    windows = F.when(
+        letters > 0,
+        F.transform(F.sequence(F.lit(1), letters), lambda i: F.substring(padded, i, F.lit(5))),
+    ).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.transform(windows, _code_at), "")
+
+
+def _code_at(window: Column) -> Column:
+    # Of doubled letters only the last counts, except C; vowels count at the start only.
+    letter = F.substring(window, 2, 1)
+    chain = F.when(window.rlike(r"^.([ABD-Z])\1"), "").when(
+        window.rlike("^.[AEIOU]"), F.when(window.startswith(" "), letter).otherwise("")
     )
-
-
-def _code_of(w: Column) -> Column:
-    def at(text: Column, pos: Column) -> Column:
-        return F.when(pos >= 1, F.substring(text, pos, F.lit(1))).otherwise("")
-
-    def code(i: Column) -> Column:
-        c, prev, nxt, nxt2, nxt3 = (at(w, i + d) for d in (0, -1, 1, 2, 3))
-        first = i == 1
-        vowel = lambda ch: ch.isin("A", "E", "I", "O", "U")
-        front = lambda ch: ch.isin("E", "I", "Y")
-        last = i == F.length(w)
-        silent_gh = (nxt == "H") & ~vowel(nxt2)
-        gn_ending = (nxt == "N") & ((nxt2 == "") | ((nxt2 == "E") & (nxt3 == "D")))
-        return (
-            F.when((c == nxt) & (c != "C"), "")
-            .when(vowel(c), F.when(first, c).otherwise(""))
-            .when(c == "B", F.when(last & (prev == "M"), "").otherwise("B"))
-            .when(
-                c == "C",
-                F.when(((nxt == "I") & (nxt2 == "A")) | (nxt == "H"), "X")
-                .when(front(nxt), F.when(prev == "S", "").otherwise("S"))
-                .otherwise("K"),
-            )
-            .when(c == "D", F.when((nxt == "G") & front(nxt2), "J").otherwise("T"))
-            .when(
-                c == "G",
-                F.when(silent_gh | gn_ending | ((prev == "D") & front(nxt)), "")
-                .when(front(nxt) & (prev != "G"), "J")
-                .otherwise("K"),
-            )
-            .when(
-                c == "H",
-                F.when(prev.isin("C", "S", "P", "T", "G") | ~vowel(nxt), "").otherwise("H"),
-            )
-            .when(c == "K", F.when(prev == "C", "").otherwise("K"))
-            .when(c == "P", F.when(nxt == "H", "F").otherwise("P"))
-            .when(c == "Q", "K")
-            .when(
-                c == "S",
-                F.when((nxt == "H") | ((nxt == "I") & nxt2.isin("O", "A")), "X").otherwise("S"),
-            )
-            .when(
-                c == "T",
-                F.when((nxt == "I") & nxt2.isin("O", "A"), "X")
-                .when(nxt == "H", "0")
-                .when((nxt == "C") & (nxt2 == "H"), "")
-                .otherwise("T"),
-            )
-            .when(c == "V", "F")
-            .when(c.isin("W", "Y"), F.when(vowel(nxt), c).otherwise(""))
-            .when(c == "X", "KS")
-            .when(c == "Z", "S")
-            .when(c.isin("F", "J", "L", "M", "N", "R"), c)
-            .otherwise("")
-        )
-
-    positions = F.when(F.length(w) > 0, F.sequence(F.lit(1), F.length(w))).otherwise(F.array())
-    return F.array_join(F.transform(positions, code), "")
+    for pattern, code in WINDOW_CODES.items():
+        chain = chain.when(window.rlike(pattern), code)
+    # B, F, H, J, L, M, N, P, R, W and Y stand for themselves.
+    return chain.when(window.rlike("^.[A-Z]"), letter).otherwise("")

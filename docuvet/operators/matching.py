@@ -75,20 +75,19 @@ def _entry_evidence(entry: Column, query: Column) -> Column:
     """Per entry token: the exact match if there is one, else the first match."""
 
     def best(e: Column) -> Column:
-        found = F.filter(
-            F.transform(
-                query,
-                lambda q: F.struct(
-                    _method(e, q).alias("method"), q["t"].alias("query_token"), e["t"].alias("matched_token"),
-                    F.when(_method(e, q) == "EXACT", 0).when(_method(e, q) == "EDIT_DISTANCE", 1).alias("edit_distance"),
-                ),
-            ),
-            lambda m: m["method"].isNotNull(),
-        )
+        read = F.transform(query, lambda q: F.struct(_method(e, q).alias("method"), q["t"].alias("query_token")))
+        found = F.filter(read, lambda m: m["method"].isNotNull())
         exact = F.filter(found, lambda m: m["method"] == "EXACT")
-        return F.coalesce(F.get(exact, F.lit(0)), F.get(found, F.lit(0))).cast(_EVIDENCE)
+        return F.struct(F.coalesce(F.get(exact, F.lit(0)), F.get(found, F.lit(0))).alias("m"), e["t"].alias("t"))
+
+    def shown(b: Column) -> Column:
+        method = b["m"]["method"]
+        return F.struct(
+            method.alias("method"), b["m"]["query_token"].alias("query_token"), b["t"].alias("matched_token"),
+            F.when(method == "EXACT", 0).when(method == "EDIT_DISTANCE", 1).alias("edit_distance"),
+        ).cast(_EVIDENCE)
 
-    return F.transform(entry, best)
+    return F.transform(F.transform(entry, best), shown)
 
 
 def _covered(entry: Column, query: Column) -> Column:

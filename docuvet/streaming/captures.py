@@ -33,6 +33,7 @@ def stream_captures(captures: DataFrame, out: str, checkpoint: str, threshold: f
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
         newest = batch.groupBy("case_id").agg(F.max_by("embedding", F.struct("event_ts", "seq")).alias("embedding"))
         put(newest, "gallery")
@@ -52,6 +53,7 @@ def stream_captures(captures: DataFrame, out: str, checkpoint: str, threshold: f
         sealed = spark.read.parquet(f"{out}/ledger/batch_id={batch_id}")
         tips = sealed.groupBy("chain_id").agg(F.max_by("entry_hash", F.struct("event_ts", "seq")).alias("head_hash"))
         put(tips, "heads")
+        batch.unpersist()
 
     _prepare(captures.sparkSession, f"{out}/gallery", GALLERY)
     _prepare(captures.sparkSession, f"{out}/heads", HEADS)
