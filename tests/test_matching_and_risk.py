@@ -62,8 +62,7 @@ def test_one_name_shared_by_most_cases(spark):
     assert len(screen(spark, cases)) == 400
 
 
-@pytest.mark.parametrize("threshold", [0.0, 0.62, 0.8])
-@pytest.mark.parametrize("block", [7, 64, 4096])
+@pytest.mark.parametrize("block, threshold", [(7, 0.0), (7, 0.8), (64, 0.62), (4096, 0.62)])
 def test_gallery_search_equals_brute_force(spark, block, threshold):
     rng = np.random.default_rng(3)
     # A third of the gallery is one tight cluster, some vectors are repeated.
