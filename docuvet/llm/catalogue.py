@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, scoring, sharding, simhash
+from . import language, packing, repeats, scoring, sharding, simhash
 from .support import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,11 @@ def op1_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_cases(_documents(spark, sf_dir), [1.0] * 8).withColumnRenamed("case_id", "doc_id")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(_documents(spark, sf_dir))
+    return cut.select(F.col("case_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _documents(spark, sf_dir)
     rest = remainder(F.col("case_id"), 4)
@@ -34,6 +40,11 @@ def op5_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_cases(_documents(spark, sf_dir)).withColumnRenamed("case_id", "doc_id")
 
 
+def op6_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_cases(_documents(spark, sf_dir), path).withColumnRenamed("case_id", "doc_id")
+
+
 def op9_partial_matching_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = remainder(F.col("case_id"), 7)
     scored = scoring.score_cases(_documents(spark, sf_dir).withColumn("trains", rest != 2))
@@ -44,7 +55,8 @@ def op9_partial_matching_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_rendezvous_shards, op4_language_id, op5_covering_simhash, op9_partial_matching_score,
+        op1_rendezvous_shards, op2_suffix_array_dedup, op4_language_id, op5_covering_simhash, op6_configuration_packing,
+        op9_partial_matching_score,
     )
 }
 

@@ -25,9 +25,11 @@ def learn(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, order: int = pp
     the driver. Languages come in name order. Null texts and languages teach nothing.
     """
     usable = labelled.where("language is not null and raw_text is not null")
-    sizes = usable.groupBy("language").agg(F.count(F.lit(1)).alias("texts"))
+    # one row per language comes to the driver
+    sizes = {r["language"]: r["n"] for r in usable.groupBy("language").agg(F.count(F.lit(1)).alias("n")).collect()}
     part = F.pmod(F.xxhash64("case_id", "raw_text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = usable.join(sizes, "language").where(part < F.lit(float(sample_texts)) / F.col("texts"))
+    shares = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, sample_texts / n)]) if sizes else None
+    chosen = usable.where(part < shares[F.col("language")] if sizes else F.lit(False))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_language: dict[str, list] = {}

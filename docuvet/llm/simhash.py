@@ -188,7 +188,9 @@ def near_duplicate_cases(cases: DataFrame, width: int = SHINGLE_WORDS, radius: i
 
     rows = cases.select(F.col("case_id").cast("long").alias("case_id"), F.col("raw_text").cast("string").alias("raw_text"))
     marked = materialize(rows.mapInArrow(prints, "case_id long, fp long"), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("case_id").alias("first")), "distinct-fingerprints")
+    # spread over all tasks: each row becomes one per mask
+    distinct = marked.groupBy("fp").agg(F.min("case_id").alias("first")).repartition(shuffle_partitions(cases), "fp")
+    distinct = materialize(distinct, "distinct-fingerprints")
     links = fingerprint_links(distinct.select("fp"), radius)
     found = components.connected(links)
     # Components are named by fingerprint; the smallest case in each gives its id.
