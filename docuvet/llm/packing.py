@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -200,9 +200,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
         if times < 1:
             continue
         slots = []
+        # the smaller half of the places stays open: the best fit closes it to the token
+        places = sorted(k for k, n in chosen.items() for _ in range(n))
+        held = Counter(places[len(places) // 2:])
         for k, n in chosen.items():
             remaining[k] -= n * times
-            for _ in range(n):
+            for _ in range(held[k]):
                 runs, need = [], times
                 while need:
                     top = pools[k][-1]
@@ -214,7 +217,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
                     if not top[1]:
                         pools[k].pop()
                 slots.append(runs)
-        while slots[0]:
+        while slots and slots[0]:
             alike = min(runs[0][1] for runs in slots)
             put(alike, tuple(runs[0][0] for runs in slots))
             for runs in slots:
