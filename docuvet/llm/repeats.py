@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
@@ -15,7 +16,7 @@ from .support import mix, ragged, shuffle_partitions, text_rows
 WINDOW = 100
 GRAM = 24
 #: Text bytes whose repeats are collapsed before anything is exchanged.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Bytes of one suffix array.
 SHARD_BYTES = 4 << 20
 #: Texts looked at to find anchors with very many surroundings. Steers only where work is done.
@@ -24,7 +25,7 @@ SAMPLE_TEXTS = 4_000
 FREQUENT = 1 / 200
 LEAST = 16
 #: Positions handled at once; their numbers fit the low bits of a minimum's key.
-POSITIONS = 1 << 20
+POSITIONS = 1 << 18
 
 _NO_ID = np.iinfo(np.int64).max
 
@@ -202,10 +203,11 @@ def spans_of(places: np.ndarray, windows: np.ndarray, window: int = WINDOW) -> n
 
 _ROWS = pa.schema([
     ("kind", pa.int32()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("windows", pa.binary()),
-    ("places", pa.binary()), ("passages", pa.binary()),
+    ("places", pa.binary()), ("contents", pa.binary()),
 ])
-_ROWS_SHAPE = "kind int, bucket long, hashes binary, windows binary, places binary, passages binary"
-_SPANS_SHAPE = "id long, salt long, start long, end long"
+_ROWS_SHAPE = "kind int, bucket long, hashes binary, windows binary, places binary, contents binary"
+#: Spans to remove have no hash; a stretch with one still has to be compared byte by byte.
+_SPANS_SHAPE = "id long, salt long, start long, end long, hash long"
 RUNS, FREQUENT_WINDOWS, REPEATS = 0, 1, 2
 
 
@@ -245,6 +247,25 @@ def _runs_of(held: list, window: int, gram: int):
     return data, starts, windows, hashes, places
 
 
+def _by_bucket(hashes: np.ndarray, windows: np.ndarray, places: np.ndarray, contents, buckets: int) -> list[tuple]:
+    """Runs as one packed row per bucket of their anchor; ``contents`` are hashes or the bytes themselves."""
+    bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1]))) if len(bucket) else []
+    out = []
+    for a, b in zip(cuts, np.append(cuts[1:], len(bucket)) if len(bucket) else []):
+        mine = order[a:b]
+        held = contents[mine].tobytes() if isinstance(contents, np.ndarray) else _zip(b"".join([contents[i] for i in mine]))
+        out.append((RUNS, int(bucket[order[a]]), hashes[mine].tobytes(), _zip(windows[mine].astype(np.int32)), _zip(places[mine].T), held))
+    return out
+
+
+def _sent(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(zip(*rows[at:at + 64]), _ROWS)], schema=_ROWS)
+
+
 def _gather(rows: Iterator, buckets: int, frequent: np.ndarray, window: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Texts to packed runs by bucket, with repeats inside the batch already told apart."""
     first: dict[bytes, int] = {}
@@ -255,7 +276,7 @@ def _gather(rows: Iterator, buckets: int, frequent: np.ndarray, window: int, gra
 
     def flush():
         nonlocal first, kept_places, kept_windows, kept_hashes, repeats, repeat_windows, size
-        passages = list(first)
+        passages = list(first)  # in the order of the kept lists
         places = np.array(kept_places, np.int64).reshape(-1, 3)
         windows, hashes = np.array(kept_windows, np.int64), np.array(kept_hashes, np.uint64)
         again = spans_of(np.array(repeats, np.int64).reshape(-1, 3), np.array(repeat_windows, np.int64), window)
@@ -288,18 +309,10 @@ def _gather(rows: Iterator, buckets: int, frequent: np.ndarray, window: int, gra
                 mine = bucket == b
                 out.append((FREQUENT_WINDOWS, int(b), _zip(prints[mine]), b"", _zip(where[mine]), b""))
         rare = np.flatnonzero(~often)
-        bucket = ((hashes[rare] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        rare, bucket = rare[by], bucket[by]
-        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
-        for a, b in zip(cuts, np.append(cuts[1:], len(bucket)) if len(bucket) else []):
-            mine = rare[a:b]
-            out.append((RUNS, int(bucket[a]), hashes[mine].tobytes(), _zip(windows[mine].astype(np.int32)),
-                        _zip(places[mine]), _zip(b"".join([passages[i] for i in mine]))))
+        contents = np.fromiter(map(xxhash.xxh3_64_intdigest, passages), np.uint64, len(passages))
+        out += _by_bucket(hashes[rare], windows[rare], places[rare], contents[rare], buckets)
         first, kept_places, kept_windows, kept_hashes, repeats, repeat_windows, size = {}, [], [], [], [], [], 0
-        for at in range(0, len(out), 64):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(zip(*out[at:at + 64]), _ROWS)], schema=_ROWS)
+        yield from _sent(out)
 
     for held in _pieces(rows, window):
         data, starts, windows, hashes, places = _runs_of(held, window, gram)
@@ -327,59 +340,48 @@ def _gather(rows: Iterator, buckets: int, frequent: np.ndarray, window: int, gra
 
 def resolve(hashes: np.ndarray, windows: np.ndarray, places: np.ndarray, data: np.ndarray, window: int = WINDOW,
             shard_bytes: int = SHARD_BYTES) -> np.ndarray:
-    """Spans of all windows that also start earlier, among runs whose anchors' hashes meet here."""
+    """Spans of all windows that also start earlier, among distinct passages whose anchors' hashes meet here."""
     sizes = windows + window - 1
     begins = np.cumsum(sizes) - sizes
     order = np.argsort(hashes, kind="stable")
-    same = hashes[order][1:] == hashes[order][:-1]
-    shared = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(order) else order
-    first: dict[bytes, int] = {}
-    again, again_windows = [], []
-    raw = data.tobytes()
-    for i in shared.tolist():
-        passage = raw[begins[i]:begins[i] + sizes[i]]
-        at = first.setdefault(passage, i)
-        if at != i:
-            a, b = tuple(places[at]), tuple(places[i])
-            if a != b:
-                if b < a:
-                    first[passage], i = i, at
-                again.append(places[i])
-                again_windows.append(windows[i])
-    found = [spans_of(np.array(again, np.int64).reshape(-1, 3), np.array(again_windows, np.int64), window)]
-    kept = np.array(sorted(first.values(), key=lambda i: hashes[i]), np.int64)
-    same = hashes[kept][1:] == hashes[kept][:-1]
-    mixed = kept[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(kept) else kept
-    if len(mixed):
-        shards, at = [], 0
-        ends = np.cumsum(sizes[mixed])
-        while at < len(mixed):
-            stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[mixed[at]] + shard_bytes, side="right")))
-            part = mixed[at:stop]
-            text = data[ragged(begins[part], sizes[part])]
-            starts = np.cumsum(sizes[part]) - sizes[part]
-            shards.append(Shard(text, starts, windows[part], places[part], window))
-            at = stop
-        while len(shards) > 1:
-            merged = []
-            for left, right in zip(shards[::2], [*shards[1::2], None]):
-                if right is not None:
-                    left.merge(right)
-                merged.append(left)
-            shards = merged
-        found.append(spans_of(shards[0].repeated, np.ones(len(shards[0].repeated), np.int64), window))
-    return np.concatenate(found)
-
-
-def _settle(table: pa.Table, window: int, shard_bytes: int) -> pa.Table:
-    """All packed rows of one bucket to spans."""
+    ends = np.cumsum(sizes[order])
+    shards, at = [], 0
+    while at < len(order):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[order[at]] + shard_bytes, side="right")))
+        part = order[at:stop]
+        starts = np.cumsum(sizes[part]) - sizes[part]
+        shards.append(Shard(data[ragged(begins[part], sizes[part])], starts, windows[part], places[part], window))
+        at = stop
+    while len(shards) > 1:
+        merged = []
+        for left, right in zip(shards[::2], [*shards[1::2], None]):
+            if right is not None:
+                left.merge(right)
+            merged.append(left)
+        shards = merged
+    if not shards:
+        return np.zeros((0, 4), np.int64)
+    return spans_of(shards[0].repeated, np.ones(len(shards[0].repeated), np.int64), window)
+
+
+def _spans_table(spans: np.ndarray, hashes: np.ndarray | None = None, stretches: np.ndarray | None = None) -> pa.Table:
+    hashes = np.zeros(0, np.uint64) if hashes is None else hashes
+    rows = spans if stretches is None else np.concatenate([spans, stretches])
+    names = ("id", "salt", "start", "end")
+    found = pa.array(np.concatenate([np.zeros(len(spans), np.int64), hashes.view(np.int64)]), mask=np.arange(len(rows)) < len(spans))
+    return pa.table({**{name: pa.array(rows[:, i]) for i, name in enumerate(names)}, "hash": found})
+
+
+def _settle(table: pa.Table, window: int) -> pa.Table:
+    """All packed rows of one bucket to spans, and to the stretches whose equal parts only bytes can tell."""
     found = [np.zeros((0, 4), np.int64)]
-    rows = table.select(["kind", "hashes", "windows", "places", "passages"]).to_pylist()
+    rows = table.select(["kind", "hashes", "windows", "places", "contents"]).to_pylist()
     for row in rows:
         if row["kind"] == REPEATS:
             found.append(_unzip(row["places"], np.int64).reshape(-1, 4))
     often = [r for r in rows if r["kind"] == FREQUENT_WINDOWS]
     if often:
+        # sorted lists of the batches, merged
         prints = np.concatenate([_unzip(r["hashes"], np.uint64).reshape(-1, 2) for r in often])
         places = np.concatenate([_unzip(r["places"], np.int64).reshape(-1, 3) for r in often])
         order = np.lexsort((places[:, 2], places[:, 1], places[:, 0], prints[:, 1], prints[:, 0]))
@@ -387,14 +389,56 @@ def _settle(table: pa.Table, window: int, shard_bytes: int) -> pa.Table:
         again = np.concatenate(([False], (prints[1:] == prints[:-1]).all(axis=1) & (places[1:] != places[:-1]).any(axis=1)))
         found.append(spans_of(places[again], np.ones(again.sum(), np.int64), window))
     runs = [r for r in rows if r["kind"] == RUNS]
-    if runs:
-        found.append(resolve(
-            np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in runs]),
-            np.concatenate([_unzip(r["windows"], np.int32) for r in runs]).astype(np.int64),
-            np.concatenate([_unzip(r["places"], np.int64).reshape(-1, 3) for r in runs]),
-            np.concatenate([_unzip(r["passages"]) for r in runs]), window, shard_bytes))
-    spans = np.concatenate(found)
-    return pa.table({name: pa.array(spans[:, i]) for i, name in enumerate(("id", "salt", "start", "end"))})
+    if not runs:
+        return _spans_table(np.concatenate(found))
+    hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in runs])
+    contents = np.concatenate([np.frombuffer(r["contents"], np.uint64) for r in runs])
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order][1:] == hashes[order][:-1]
+    shared = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(order) else order
+    windows = np.concatenate([_unzip(r["windows"], np.int32) for r in runs]).astype(np.int64)[shared]
+    places = np.concatenate([_unzip(r["places"], np.int64).reshape(3, -1).T for r in runs])[shared]
+    hashes, contents = hashes[shared], contents[shared]
+    order = np.lexsort((places[:, 2], places[:, 1], places[:, 0], contents, hashes))
+    hashes, contents, windows, places = hashes[order], contents[order], windows[order], places[order]
+    fresh = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (contents[1:] != contents[:-1]))) if len(order) else np.zeros(0, bool)
+    again = ~fresh
+    again[1:] &= (places[1:] != places[:-1]).any(axis=1)
+    found.append(spans_of(places[again], windows[again], window))
+    hashes, windows, places = hashes[fresh], windows[fresh], places[fresh]
+    same = hashes[1:] == hashes[:-1]
+    mixed = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(hashes) else np.zeros(0, bool)
+    stretches = np.column_stack([places[mixed], places[mixed][:, 2] + windows[mixed] + window - 1])
+    return _spans_table(np.concatenate(found), hashes[mixed], stretches)
+
+
+def _fetch(batches: Iterator[pa.RecordBatch], buckets: int, window: int) -> Iterator[pa.RecordBatch]:
+    """Texts and their open stretches to packed passages by bucket."""
+    for batch in batches:
+        hashes, windows, places, passages, size = [], [], [], [], 0
+        raw = batch.column("raw_text").cast(pa.large_binary())
+        names = zip(batch.column("id").to_pylist(), batch.column("salt").to_pylist(), raw, batch.column("stretches"))
+        for row, (case, salt, text, stretches) in enumerate(names):
+            text = text.as_py()
+            for x in stretches.as_py():
+                hashes.append(x["hash"])
+                windows.append(x["end"] - x["start"] - window + 1)
+                places.append((case, salt, x["start"]))
+                passages.append(text[x["start"]:x["end"]])
+                size += x["end"] - x["start"]
+            if size >= BATCH_BYTES or row == batch.num_rows - 1:
+                yield from _sent(_by_bucket(np.array(hashes, np.int64).view(np.uint64), np.array(windows, np.int64),
+                                            np.array(places, np.int64).reshape(-1, 3), passages, buckets))
+                hashes, windows, places, passages, size = [], [], [], [], 0
+
+
+def _index(table: pa.Table, window: int, shard_bytes: int) -> pa.Table:
+    rows = table.select(["hashes", "windows", "places", "contents"]).to_pylist()
+    return _spans_table(resolve(
+        np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows]),
+        np.concatenate([_unzip(r["windows"], np.int32) for r in rows]).astype(np.int64),
+        np.concatenate([_unzip(r["places"], np.int64).reshape(3, -1).T for r in rows]),
+        np.concatenate([_unzip(r["contents"]) for r in rows]), window, shard_bytes))
 
 
 def _frequent_anchors(rows: DataFrame, window: int, gram: int) -> np.ndarray:
@@ -431,10 +475,10 @@ def remove_repeats(cases: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
     shorter than ``window`` stay whole; an empty table gives an empty result.
 
     Windows are cut into runs that share their smallest gram, so equal strings meet in
-    one bucket wherever they are, and a string without an equal is dropped there by its
-    hash. Equal runs collapse in each batch before the exchange and again in the bucket.
-    Runs that only partly agree are indexed: suffix arrays of at most ``shard_bytes``,
-    merged by binary search. Anchors with very many surroundings, found in a bounded
+    one bucket wherever they are. Only hashes are exchanged at first: a run without an
+    equal anchor is dropped, and equal runs collapse, in each batch and in the bucket.
+    The bytes of runs that share an anchor but differ are then fetched and indexed:
+    suffix arrays of at most ``shard_bytes``, merged by binary search. Anchors with very many surroundings, found in a bounded
     sample of texts, exchange their windows one by one instead, so that none of them
     fills a bucket. What is removed does not depend on that sample.
     """
@@ -449,12 +493,17 @@ def remove_repeats(cases: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
         pairs = (pair for keys, texts in text_rows(batches, "row", "raw_text") for pair in zip(keys, texts))
         return _gather(pairs, buckets, frequent.value, window, gram)
 
-    spans = (
-        rows.mapInArrow(gather, _ROWS_SHAPE).groupBy("bucket")
-        .applyInArrow(lambda table: _settle(table, window, shard_bytes), _SPANS_SHAPE)
-    )
+    spread = rows.mapInArrow(gather, _ROWS_SHAPE).groupBy("bucket")
+    told = materialize(spread.applyInArrow(lambda table: _settle(table, window), _SPANS_SHAPE), "runs")
+    named = texts.withColumn("id", F.coalesce("case_id", F.lit(int(_NO_ID))))
+    open_ = told.where("hash is not null").groupBy("id", "salt").agg(
+        F.collect_list(F.struct("start", "end", "hash")).alias("stretches"))
+    passages = named.join(open_, ["id", "salt"]).select("id", "salt", "raw_text", "stretches").mapInArrow(
+        lambda batches: _fetch(batches, buckets, window), _ROWS_SHAPE)
+    compared = passages.groupBy("bucket").applyInArrow(lambda table: _index(table, window, shard_bytes), _SPANS_SHAPE)
+    spans = told.where("hash is null").drop("hash").unionByName(compared.drop("hash"))
     per_text = materialize(spans.groupBy("id", "salt").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeats")
-    joined = texts.withColumn("id", F.coalesce("case_id", F.lit(int(_NO_ID)))).join(per_text, ["id", "salt"], "left")
+    joined = named.join(per_text, ["id", "salt"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
