@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -21,68 +23,95 @@ SMALL = 1 / 16
 #: Multiplicative weights: step and most rounds.
 STEP = 0.3
 ROUNDS = 3_000
-#: Distinct words whose ids a task remembers at once.
-REMEMBERED = 300_000
+#: Distinct words whose ids a worker remembers at once.
+REMEMBERED = 500_000
+
+#: Stops between an ASCII letter and white space: tokens of their own.
+_STOPS = re.compile(rb"(?<=[A-Za-z])([.,]+)(?=[ \n]|$)")
 
 
 class Encoder:
     """Token ids of whole texts through the ids of their distinct white-space-free parts.
 
     The tokenizer drops white space and never joins what it separates, so the ids of a
-    text are those of its parts one after another. Words of letters are encoded many to
-    a line and told apart by their word-end ids.
+    text are those of its parts one after another. It also separates letters from the
+    stops behind them and ignores case. Plain ASCII words are therefore encoded many to
+    a line by the same model without the text normaliser, and told apart by their
+    word-end ids; all other parts are encoded one by one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        setup = json.loads(self.tokenizer.to_str())
+        setup |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "WhitespaceSplit"},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        self.plain = Tokenizer.from_str(json.dumps(setup))
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, parts: list[bytes]) -> None:
-        words, split, others = [], [], []
-        for part in parts:
-            core = part.rstrip(b".,")
-            if core.decode().isalpha():
-                words.append(core)
-                if len(core) < len(part):
-                    split.append((part, core))
-                    words.append(part[len(core):]) if part[len(core):] not in self.known else None
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The encoder of this process: tasks that a worker runs one after another share what was learnt."""
+        import tokenizers
+
+        kept = tokenizers.__dict__.setdefault("_encoders_by_path", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
+    def learn(self, parts: set[bytes]) -> None:
+        plain = [p for p in parts if p.isalpha()]  # ASCII letters only
+        lettered, ends, others = [], [], []
+        for part in parts.difference(plain):
+            word = part.decode()
+            core = word.rstrip(".,")
+            if core.isalpha():
+                lettered.append(part)
+                ends.append(1 + (len(core) < len(word)))
             else:
                 others.append(part)
-        tails = {w for w in words if not w.strip(b".,")}
-        others += tails
-        words = list({w for w in words if w not in tails and w not in self.known})
-        lines = [words[i:i + 500] for i in range(0, len(words), 500)]
-        texts = [b" ".join(line).decode() for line in lines]
-        for line, coded in zip(lines, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(coded.ids, np.uint32)
-            stops = np.flatnonzero(self.ends_word[ids]) + 1 if len(ids) else []
-            if len(stops) != len(line):
+        for at in range(0, len(plain), 1000):
+            self._learn_line(self.plain, plain[at:at + 1000], None)
+        for at in range(0, len(lettered), 1000):
+            line = lettered[at:at + 1000]
+            if not self._learn_line(self.tokenizer, line, ends[at:at + 1000]):
                 others += line
-                continue
-            packed, at = ids.tobytes(), 0
-            for word, stop in zip(line, (4 * stops).tolist()):
-                self.known[word] = packed[at:stop]
-                at = stop
-        if others:
-            coded = self.tokenizer.encode_batch_fast([o.decode() for o in others], add_special_tokens=False)
-            for part, one in zip(others, coded):
-                self.known[part] = np.array(one.ids, np.uint32).tobytes()
-        for part, core in split:
-            self.known[part] = self.known[core] + self.known[part[len(core):]]
+        for at in range(0, len(others), 4096):
+            some = others[at:at + 4096]
+            coded = self.tokenizer.encode_batch_fast([o.decode() for o in some], add_special_tokens=False)
+            self.known.update((part, np.array(one.ids, np.uint32).tobytes()) for part, one in zip(some, coded))
+
+    def _learn_line(self, tokenizer, line: list[bytes], ends: list[int] | None) -> bool:
+        """Encode parts in one go; ``ends``: how many word ends each has. False if they come out otherwise."""
+        ids = np.array(tokenizer.encode_batch_fast([b" ".join(line).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        stops = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
+        if ends is not None:
+            last = np.cumsum(ends) - 1
+            if len(stops) != last[-1] + 1:
+                return False
+            stops = stops[last]
+        stops = stops.tolist()
+        packed = ids.tobytes()
+        self.known.update(zip(line, map(packed.__getitem__, map(slice, [0, *stops[:-1]], stops))))
+        return True
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > REMEMBERED:
             self.known = {}
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.known)
+        # a text that may name a special token keeps its case
+        split = [_STOPS.sub(rb" \1", t if b"<|" in t else t.lower()).split() for t in texts]
+        new = set()
+        for parts in split:
+            new.update(parts)
+        new.difference_update(self.known)
         if new:
-            self.learn(list(new))
+            self.learn(new)
         look = self.known.__getitem__
         return [b"".join(map(look, parts)) for parts in split]
 
@@ -98,9 +127,9 @@ def tokenize_cases(cases: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = Encoder.of(tokenizer_path)
         close = np.array([end_id], np.uint32).tobytes()
-        for keys, texts in text_rows(batches, "case_id", "raw_text", 4 << 20):
+        for keys, texts in text_rows(batches, "case_id", "raw_text", 2 << 20):
             rows: list[list] = [[], [], [], [], []]
             for key, ids in zip(keys, encoder.encode(texts)):
                 ids += close
