@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, packing, repeats, scoring, sharding, simhash
+from . import language, lookalikes, nearest, packing, passages, pieces, repeats, scoring, sharding, simhash
 from .support import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("case_id"), F.col("text").alias("raw_text"), F.col("lang").alias("language"))
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumnRenamed("vec_id", "case_id")
+
+
 def op1_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_cases(_documents(spark, sf_dir), [1.0] * 8).withColumnRenamed("case_id", "doc_id")
 
@@ -27,6 +31,12 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(F.col("case_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = _embeddings(spark, sf_dir)
+    found = nearest.nearest_faces(faces.where(F.col("case_id") % 50 == 0), faces)
+    return found.select(F.col("case_id").alias("query_id"), "rank", F.col("match_case_id").alias("vec_id"), F.col("similarity").alias("score"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _documents(spark, sf_dir)
     rest = remainder(F.col("case_id"), 4)
@@ -45,6 +55,17 @@ def op6_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_cases(_documents(spark, sf_dir), path).withColumnRenamed("case_id", "doc_id")
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.near_duplicate_passages(_documents(spark, sf_dir))
+    return found.select(
+        F.col("case_id").alias("doc_id"), "start", "end", "n_words", F.col("match_case_id").alias("match_doc_id"),
+        "match_start", "match_end", "similarity")
+
+
+def op8_projection_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.near_duplicate_faces(_embeddings(spark, sf_dir), "label").withColumnRenamed("case_id", "vec_id")
+
+
 def op9_partial_matching_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = remainder(F.col("case_id"), 7)
     scored = scoring.score_cases(_documents(spark, sf_dir).withColumn("trains", rest != 2))
@@ -53,10 +74,20 @@ def op9_partial_matching_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op10_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode_cases(_documents(spark, sf_dir), path)
+    decoded = pieces.decode_cases(encoded, path)
+    return decoded.select(
+        F.col("case_id").alias("doc_id"), (F.octet_length("piece_ids") / 4).cast("long").alias("n_pieces"),
+        F.crc32("piece_ids").alias("ids_crc32"), F.crc32(F.col("raw_text").cast("binary")).alias("text_crc32"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_rendezvous_shards, op2_suffix_array_dedup, op4_language_id, op5_covering_simhash, op6_configuration_packing,
-        op9_partial_matching_score,
+        op1_rendezvous_shards, op2_suffix_array_dedup, op3_adaptive_scan, op4_language_id, op5_covering_simhash,
+        op6_configuration_packing, op7_compact_windows, op8_projection_collisions, op9_partial_matching_score,
+        op10_suffix_array_pieces,
     )
 }
 

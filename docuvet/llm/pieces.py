@@ -17,9 +17,9 @@ from .support import ragged, text_rows
 MARK = "▁"
 #: Units of more characters are merged one at a time with a heap.
 LONG = 48
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Distinct units whose ids a worker remembers at once.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _SEPARATOR = 0xFF
 
