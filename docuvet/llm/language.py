@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -56,44 +56,46 @@ def learn(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, order: int = pp
     return names, ppm.combined(models) if models else None
 
 
-def identify_language(cases: DataFrame, labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
+def identify_language(cases: DataFrame, labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, keep: Sequence[str] = ()) -> DataFrame:
     """The language of each document analysis, from the whole of its OCR text.
 
-    ``cases``: case_id, raw_text; other columns are ignored. ``labelled``: case_id,
-    raw_text, language. Output, one row per input row: case_id, language, score (the
-    language's posterior under equal priors, 0 to 1) and nats_per_byte (its code length
-    by byte, end included). A null text, a text without a letter, or an empty training
-    table gives ``und`` with score 0 and null nats_per_byte. Equal code lengths go to
-    the first language by name. Repeated rows stay; an empty table gives an empty result.
+    ``cases``: case_id, raw_text; of its other columns those named in ``keep`` are
+    carried along under their names with ``kept_`` before them, the rest is ignored.
+    ``labelled``: case_id, raw_text, language. Output, one row per input row: case_id,
+    language, score (the language's posterior under equal priors, 0 to 1) and
+    nats_per_byte (its code length by byte, end included). A null text, a text without a
+    letter, or an empty training table gives ``und`` with score 0 and null
+    nats_per_byte. Equal code lengths go to the first language by name. Repeated rows
+    stay; an empty table gives an empty result.
     """
     names, model = learn(labelled, sample_texts)
-    spark = cases.sparkSession
-    shared = spark.sparkContext.broadcast((names, model))
-    shape = "case_id long, language string, score double, nats_per_byte double"
+    shared = cases.sparkSession.sparkContext.broadcast((names, model))
+    rows = cases.select(
+        F.col("case_id").cast("long").alias("case_id"), *[F.col(c).alias(f"kept_{c}") for c in keep],
+        F.coalesce(F.col("raw_text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
+        F.col("raw_text").cast("string").alias("raw_text"),
+    )
+    carried = rows.columns[:-2]
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, model = shared.value
-
-        for keys, texts in text_rows(batches, "row", "raw_text"):
-            lettered = np.array([k["lettered"] for k in keys], bool)
-            keys = [k["case_id"] for k in keys]
-            best, score, rate = np.zeros(len(keys), int), np.zeros(len(keys)), np.full(len(keys), np.nan)
-            if model is not None:
-                nats = ppm.code_lengths(model, texts)
-                best = nats.argmin(axis=1)
-                least = nats.min(axis=1)
-                score = 1.0 / np.exp(least[:, None] - nats).sum(axis=1)
-                rate = least / np.array([len(t) + 1 for t in texts])
+        for batch in batches:
+            lettered = np.asarray(batch.column("lettered"))
             known = lettered & (model is not None)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(keys, pa.int64()),
-                pa.array([names[b] if k else UNDETERMINED for b, k in zip(best, known)], pa.string()),
-                pa.array(np.where(known, score, 0.0)), pa.array(rate, mask=~known),
-            ], ["case_id", "language", "score", "nats_per_byte"])
-
-    rows = cases.select(
-        F.struct(F.col("case_id").cast("long").alias("case_id"),
-                 F.coalesce(F.col("raw_text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")).alias("row"),
-        F.col("raw_text").cast("string").alias("raw_text"),
-    )
-    return rows.mapInArrow(predict, shape)
+            best, score, rate = np.zeros(len(known), int), np.zeros(len(known)), np.zeros(len(known))
+            at = 0
+            for keys, texts in text_rows(iter([batch]), "case_id", "raw_text") if model is not None else ():
+                nats = ppm.code_lengths(model, texts)
+                some = slice(at, at + len(keys))
+                best[some], least = nats.argmin(axis=1), nats.min(axis=1)
+                score[some] = 1.0 / np.exp(least[:, None] - nats).sum(axis=1)
+                rate[some] = least / np.array([len(t) + 1 for t in texts])
+                at += len(keys)
+            columns = {name: batch.column(name) for name in carried}
+            columns["language"] = pa.array([names[b] if k else UNDETERMINED for b, k in zip(best, known)], pa.string())
+            columns["score"] = pa.array(np.where(known, score, 0.0))
+            columns["nats_per_byte"] = pa.array(rate, mask=~known)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return rows.mapInArrow(predict, f"{shape}, language string, score double, nats_per_byte double")

@@ -174,7 +174,8 @@ def near_duplicate_cases(cases: DataFrame, width: int = SHINGLE_WORDS, radius: i
     wordless text has fingerprint zero and links like any other. Fingerprints at most
     ``radius`` bits apart are linked. Output, one row per input row: case_id,
     fingerprint (16 hex digits), component_id (smallest case_id reachable, its own
-    included; null for a row without case_id). Repeated rows stay; an empty table gives
+    included; null for a row without case_id) and text_hash (XXH64 of the text, to tell
+    texts of one case_id apart). Repeated rows stay; an empty table gives
     an empty result.
 
     Only distinct fingerprints are compared. The covering masks make sure that every
@@ -182,12 +183,15 @@ def near_duplicate_cases(cases: DataFrame, width: int = SHINGLE_WORDS, radius: i
     """
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in text_rows(batches, "case_id", "raw_text"):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(fingerprints(texts, width).view(np.int64))], ["case_id", "fp"])
-
-    rows = cases.select(F.col("case_id").cast("long").alias("case_id"), F.col("raw_text").cast("string").alias("raw_text"))
-    marked = materialize(rows.mapInArrow(prints, "case_id long, fp long"), "fingerprints")
+        for keys, texts in text_rows(batches, "row", "raw_text"):
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k["case_id"] for k in keys], pa.int64()), pa.array([k["text_hash"] for k in keys], pa.int64()),
+                pa.array(fingerprints(texts, width).view(np.int64))], ["case_id", "text_hash", "fp"])
+
+    text = F.col("raw_text").cast("string")
+    rows = cases.select(F.struct(F.col("case_id").cast("long").alias("case_id"), F.xxhash64(text).alias("text_hash")).alias("row"),
+                        text.alias("raw_text"))
+    marked = materialize(rows.mapInArrow(prints, "case_id long, text_hash long, fp long"), "fingerprints")
     # spread over all tasks: each row becomes one per mask
     distinct = marked.groupBy("fp").agg(F.min("case_id").alias("first")).repartition(shuffle_partitions(cases), "fp")
     distinct = materialize(distinct, "distinct-fingerprints")
@@ -200,5 +204,5 @@ def near_duplicate_cases(cases: DataFrame, width: int = SHINGLE_WORDS, radius: i
     by_print = named.join(least, "component").select("fp", "component_id")
     return marked.join(by_print, "fp").select(
         "case_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("case_id").isNotNull(), F.col("component_id")).alias("component_id"),
+        F.when(F.col("case_id").isNotNull(), F.col("component_id")).alias("component_id"), "text_hash",
     )
