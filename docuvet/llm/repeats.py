@@ -154,8 +154,10 @@ class Shard:
         place[:, 2] += order - starts[passage]
         rank = np.lexsort((place[:, 2], place[:, 1], place[:, 0], group))
         first = np.concatenate(([True], group[rank][1:] != group[rank][:-1])) if len(rank) else np.zeros(0, bool)
-        self.repeated = place[rank[~first]]
         kept = rank[first]
+        # a place that came twice, with equal rows, is no repeat of itself
+        lead = place[kept][np.cumsum(first) - 1]
+        self.repeated = place[rank[(place[rank] != lead).any(axis=1)]]
         self.places = place[kept]
         self.windows = data[order[kept][:, None] + np.arange(window)] if len(kept) else np.zeros((0, window), np.uint8)
 
@@ -180,7 +182,8 @@ class Shard:
         a, b = self.places[spot[same]], other.places[same]
         later = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & ((a[:, 1] > b[:, 1]) | ((a[:, 1] == b[:, 1]) & (a[:, 2] > b[:, 2]))))
         self.places[spot[same]] = np.where(later[:, None], b, a)
-        self.repeated = np.concatenate([self.repeated, other.repeated, np.where(later[:, None], a, b)])
+        twice = np.where(later[:, None], a, b)[(a != b).any(axis=1)]
+        self.repeated = np.concatenate([self.repeated, other.repeated, twice])
         self.windows = np.insert(self.windows, low[~same], other.windows[~same], axis=0)
         self.places = np.insert(self.places, low[~same], other.places[~same], axis=0)
 
@@ -225,7 +228,7 @@ def _pieces(rows: Iterator, window: int):
     held, size = [], 0
     for key, text in rows:
         name = (_NO_ID if key["case_id"] is None else key["case_id"], key["salt"])
-        for base in range(0, max(1, len(text) - window + 1), POSITIONS - window):
+        for base in range(0, max(1, len(text) - window + 1), POSITIONS - window + 1):
             part = text[base:base + POSITIONS]
             if size and size + len(part) > POSITIONS:
                 yield held
