@@ -207,10 +207,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     all other pieces follow by decreasing length, each to the sequence it fills best.
     """
     unit = -(-capacity // UNITS)
+    units = capacity // unit
     left = {k: v for k, v in histogram.items() if v}
     large = [k for k in left if k >= capacity * SMALL]
-    demand = np.zeros(UNITS + 1)
+    demand = np.zeros(-(-capacity // unit) + 1)
     pools: dict[int, list[list[int]]] = defaultdict(list)
+    # a length that fills the last, partial unit fits no configuration
+    large = [k for k in large if -(-k // unit) <= units]
     for length in sorted(large):
         demand[-(-length // unit)] += left[length]
         pools[-(-length // unit)].append([length, left[length]])
@@ -224,7 +227,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
         slacks |= 1 << slack
 
     remaining = demand.copy()
-    for chosen, amount in configurations(demand, UNITS):
+    for chosen, amount in configurations(demand[:units + 1], units):
         times = int(min(round(amount), *(remaining[k] // n for k, n in chosen.items())))
         if times < 1:
             continue
