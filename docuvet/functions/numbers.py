@@ -17,19 +17,14 @@ def round_exact(value: Column, digits: int) -> Column:
 
 
 def exact_sum(value: Column) -> Column:
-    """Order-independent sum of doubles with at most six decimals."""
-    return F.sum(value.cast("decimal(18,6)")).cast("double")
+    """Order-independent sum of doubles with at most six decimals, up to 1e22 each."""
+    return F.sum(value.cast("decimal(28,6)")).cast("double")
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
-def ratio(numerator: Column, denominator: Column) -> Column:
-    """Division that is NULL on a zero denominator."""
-    return F.when(denominator != 0, numerator.cast("double") / denominator.cast("double"))
-
-
 def ladder(keys: Column, table: dict, default=None) -> Column:
     """A small literal lookup as a ``CASE`` chain."""
     expr = None

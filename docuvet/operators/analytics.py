@@ -127,8 +127,8 @@ def list_cases(
 ) -> DataFrame:
     """One page of cases, newest first, with the failed checks that flagged them.
 
-    The page is cut first; only its cases meet the checks table, which therefore
-    is filtered by a broadcast of at most one page of keys.
+    The page is cut first; only its cases meet the checks table. Pages may have any
+    size, so how they meet is left to the optimizer.
     """
     page = cases
     if status:
@@ -137,10 +137,8 @@ def list_cases(
         page = page.where(F.col("risk_level") == risk_level)
     if country:
         page = page.where(_like(F.col("country"), country))
-    page = page.orderBy(F.desc("created_at"), F.desc("case_id")).offset(offset).limit(min(limit, 200))
-    failed = checks.where(F.col("status") == fixed.FAIL).join(
-        F.broadcast(page.select("case_id")), "case_id"
-    )
+    page = page.orderBy(F.desc("created_at"), F.desc("case_id")).offset(offset).limit(limit)
+    failed = checks.where(F.col("status") == fixed.FAIL).join(page.select("case_id"), "case_id")
     rank = Window.partitionBy("case_id").orderBy(
         severity_rank(), F.desc("score_impact"), "label", "check_seq", "part_ref", "tie_ref"
     )
@@ -221,7 +219,7 @@ def audit_search(
         rows = rows.where(
             _like(F.col("action"), search) | _like(F.col("actor"), search) | _like(F.col("case_id").cast("string"), search)
         )
-    return rows.orderBy(F.desc("event_ts"), F.desc("seq")).offset(offset).limit(min(limit, 200))
+    return rows.orderBy(F.desc("event_ts"), F.desc("seq")).offset(offset).limit(limit)
 
 
 def audit_actor_class(ledger: DataFrame, kind: str = "ALL", search: str = "") -> DataFrame:
@@ -239,7 +237,10 @@ def audit_actor_class(ledger: DataFrame, kind: str = "ALL", search: str = "") ->
 
 
 def check_ordering(checks: DataFrame) -> DataFrame:
-    """Checks with the ranks that order them inside their factor group."""
+    """Checks with the ranks that order them inside their factor group.
+
+    The order is one inside a case: rows are sorted within the partition that holds it.
+    """
     factor = {name: i for i, name in enumerate(fixed.FACTORS)}
     return checks.withColumns(
         {
@@ -247,7 +248,8 @@ def check_ordering(checks: DataFrame) -> DataFrame:
             "status_rank": ladder(F.col("status"), fixed.STATUS_RANK),
             "severity_rank": severity_rank(missing=9),
         }
-    ).orderBy("case_id", "factor_rank", "status_rank", "severity_rank", F.desc("score_impact"))
+    ).repartition("case_id").sortWithinPartitions(
+        "case_id", "factor_rank", "status_rank", "severity_rank", F.desc("score_impact"))
 
 
 def compliance_status(cases: DataFrame, audit: DataFrame, verdicts: DataFrame) -> DataFrame:

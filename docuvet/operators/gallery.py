@@ -1,52 +1,73 @@
 """Exact one-to-many face search over a gallery too large for one machine.
 
-Vectors are grouped by their nearest pivot. For a probe at angle ``t`` from a
-pivot, every member of a group whose angles to that pivot span ``[lo, hi]`` is at
-least ``max(t - hi, lo - t, 0)`` away (the angle is a metric), so a group that
-cannot reach the wanted similarity is skipped without looking at it and nothing
-that could match is lost. Groups larger than a block are split by hash, which
-keeps every task's two matrices bounded whatever the skew. Only the best match
-of a probe leaves a block; pairs are never emitted.
+At the similarities of interest nothing short of the products themselves tells faces
+apart in hundreds of dimensions, so every probe meets every gallery row. Rows travel
+in packed blocks: the gallery is shuffled once, the probes once per join group, and a
+task multiplies two bounded matrices at a time. Only the best match of a probe leaves
+a block; pairs are never emitted. Arithmetic is probes times gallery times dimensions.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.numbers import round_exact
-from ..session import materialize
 
-BLOCK_ROWS = 4096
-MAX_PIVOTS = 256
+BLOCK_ROWS = 2048
 
 
-def _kernels():
-    """Array helpers as closures: they travel with the tasks that use them, so
-    executors need NumPy but not this package."""
+def _usable(df: DataFrame, vector: str) -> DataFrame:
+    norm = F.aggregate(vector, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
+    return df.where(F.col(vector).isNotNull() & (norm > 0))
 
-    def unit(rows) -> np.ndarray:
-        m = np.asarray(list(rows), dtype=np.float64)
-        if m.size == 0:
-            return m.reshape(0, 0)
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(norms == 0, 1.0, norms)
 
-    def angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-        return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
+def _packed(df: DataFrame, group: str, block_rows: int, name: str) -> DataFrame:
+    """Unit vectors as blocks: ids and group hashes as long, vectors as double, all in bytes."""
+    own = F.xxhash64(F.lit("no group"), "case_id")
+    rows = _usable(df, "embedding").select(
+        F.col("case_id").cast("long").alias("case_id"),
+        F.coalesce(F.when(F.col(group).isNotNull(), F.xxhash64(F.col(group).cast("string"))), own).alias("grp"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+    names = [f"{name}_{c}" for c in ("ids", "groups", "vectors")]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def block() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            lists = table.column("embedding").combine_chunks()
+            ids, groups = (table.column(c).to_numpy() for c in ("case_id", "grp"))
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            width = len(flat) // len(ids)
+            lengths = np.diff(lists.offsets.to_numpy())
+            if (lengths != width).any():
+                raise ValueError(f"embeddings differ in length, as that of case {ids[lengths != width][0]}")
+            vectors = flat.reshape(len(ids), width)
+            order = np.argsort(ids, kind="stable")
+            unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+            values = (ids[order], groups[order], unit[order])
+            return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in values], names)
 
-    return unit, angles
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, block_rows - size)
+                held.append(part)
+                size += part.num_rows
+                at += part.num_rows
+                if size == block_rows:
+                    yield block()
+                    held, size = [], 0
+        if held:
+            yield block()
 
-
-def _usable(df: DataFrame, vector: str) -> DataFrame:
-    norm = F.aggregate(vector, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    return df.where(F.col(vector).isNotNull() & (norm > 0))
+    return rows.mapInArrow(pack, ", ".join(f"{n} binary" for n in names))
 
 
 def gallery_best_match(
@@ -57,112 +78,47 @@ def gallery_best_match(
 
     ``probes``/``gallery``: case_id, embedding and, when ``exclude`` names one, a
     group column. A probe never matches its own case_id; with ``exclude`` it never
-    matches a row of its own group. Ties go to the smaller case_id. Output:
-    case_id, match_case_id, similarity (unrounded).
+    matches a row of its own group. Similarities equal to twelve places are ties, which
+    go to the smaller case_id. Output: case_id, match_case_id, similarity (to twelve
+    places; the threshold is tested before rounding) and, if the gallery has them,
+    match_case_number and match_full_name.
     """
     group = exclude or "case_id"
-    right = _usable(gallery, "embedding").select(
-        F.col("case_id").cast("long").alias("case_id"), F.col(group).cast("string").alias("grp"), "embedding"
-    )
-    left = _usable(probes, "embedding").select(
-        F.col("case_id").cast("long").alias("case_id"), F.col(group).cast("string").alias("grp"), "embedding"
-    )
-    total = right.count()
-    n_pivots = max(1, min(MAX_PIVOTS, total // block_rows))
-    # At most MAX_PIVOTS vectors reach the driver.
-    pivot_rows = right.orderBy(F.xxhash64("case_id"), "case_id").limit(n_pivots).select("embedding").collect()
-    if not pivot_rows:
-        return left.select("case_id", F.lit(None).cast("long").alias("match_case_id"),
-                           F.lit(None).cast("double").alias("similarity")).limit(0)
-    unit, angles_to = _kernels()
-    pivots = unit(r["embedding"] for r in pivot_rows)
-    reach = math.acos(max(-1.0, min(1.0, 2.0 * threshold - 1.0))) + 1e-9
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            angles = angles_to(unit(batch.column("embedding").to_pylist()), pivots)
-            cell = angles.argmin(axis=1) if len(angles) else np.empty(0, dtype=np.int64)
-            own = angles[np.arange(len(cell)), cell] if len(angles) else np.empty(0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell, pa.int32()), pa.array(own, pa.float64())],
-                names=[*batch.schema.names, "cell", "angle"],
-            )
-
-    vector_type = right.schema["embedding"].dataType.simpleString()
-    placed = right.mapInArrow(assign, f"case_id long, grp string, embedding {vector_type}, cell int, angle double")
-    if n_pivots > 1:
-        # Read four times below; a shared copy keeps the placement identical each time.
-        placed = materialize(placed, "gallery-cells")
-    # One row per pivot: bounded by MAX_PIVOTS.
-    stats = placed.groupBy("cell").agg(
-        F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi")
-    ).collect()
-    cells = {r["cell"]: (r["lo"], r["hi"], max(1, math.ceil(r["n"] / block_rows))) for r in stats}
-    splits = F.create_map(*[F.lit(x) for c, (_, _, parts) in cells.items() for x in (c, parts)])
-    split_gallery = placed.select(
-        "case_id", "grp", "embedding", "cell",
-        F.pmod(F.xxhash64("case_id"), splits[F.col("cell")]).cast("int").alias("part"),
-    )
-
-    ids = np.array(sorted(cells), dtype=np.int32)
-    lows = np.array([cells[c][0] for c in ids])
-    highs = np.array([cells[c][1] for c in ids])
+    parts = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _packed(gallery, group, block_rows, "face").withColumn("join_group", F.pmod(F.xxhash64("face_ids"), F.lit(parts)))
+    asked = _packed(probes, group, block_rows, "probe").withColumn("join_group", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    bar_group = exclude is not None
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            angles = angles_to(unit(batch.column("embedding").to_pylist()), pivots)
-            angles = angles[:, ids] if len(angles) else np.empty((0, len(ids)))
-            gap = np.maximum(np.maximum(angles - highs, lows - angles), 0.0)
-            reachable = [ids[row <= reach].tolist() for row in gap]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(reachable, pa.list_(pa.int32()))],
-                names=[*batch.schema.names, "cells"],
-            )
-
-    left_type = left.schema["embedding"].dataType.simpleString()
-    routed = (
-        left.mapInArrow(route, f"case_id long, grp string, embedding {left_type}, cells array<int>")
-        .select("case_id", "grp", "embedding", F.explode("cells").alias("cell"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), splits[F.col("cell")] - 1)))
-    )
-    # Probes of a popular cell are spread as well, so a block pair stays bounded.
-    wanted = routed.where("part = 0").groupBy("cell").agg(F.count("*").alias("n")).collect()
-    spread = {r["cell"]: max(1, math.ceil(r["n"] / block_rows)) for r in wanted}
-    if not spread:
-        spread = {int(ids[0]): 1}
-    slices = F.coalesce(F.create_map(*[F.lit(x) for kv in spread.items() for x in kv])[F.col("cell")], F.lit(1))
-    routed = routed.withColumn("slice", F.pmod(F.xxhash64("case_id"), slices).cast("int"))
-    split_gallery = split_gallery.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
-
-    schema = "case_id long, match_case_id long, similarity double"
-
-    def best(probe: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if probe.empty or block.empty:
-            return pd.DataFrame({"case_id": [], "match_case_id": [], "similarity": []})
-        block = block.sort_values("case_id", kind="stable")
-        scores = np.clip((unit(probe["embedding"]) @ unit(block["embedding"]).T + 1.0) / 2.0, 0.0, 1.0)
-        barred = probe["case_id"].to_numpy()[:, None] == block["case_id"].to_numpy()[None, :]
-        if exclude:
-            barred |= probe["grp"].to_numpy()[:, None] == block["grp"].to_numpy()[None, :]
-        scores = np.where(barred, -1.0, np.round(scores, 12))
-        at = scores.argmax(axis=1)
-        top = scores[np.arange(len(at)), at]
-        keep = top >= threshold
-        return pd.DataFrame(
-            {
-                "case_id": probe["case_id"].to_numpy()[keep],
-                "match_case_id": block["case_id"].to_numpy()[at][keep],
-                "similarity": top[keep],
-            }
-        )
-
-    keys = ["cell", "part", "slice"]
-    found = routed.groupBy(*keys).cogroup(split_gallery.groupBy(*keys)).applyInPandas(best, schema)
-    return (
+            for row in range(batch.num_rows):
+                read = lambda name, kind: np.frombuffer(batch.column(name)[row].as_buffer(), kind)
+                probe, face = read("probe_ids", np.int64), read("face_ids", np.int64)
+                scores = read("probe_vectors", np.float64).reshape(len(probe), -1) @ read("face_vectors", np.float64).reshape(len(face), -1).T
+                scores = np.clip((scores + 1.0) / 2.0, 0.0, 1.0)
+                barred = probe[:, None] == face[None, :]
+                if bar_group:
+                    barred |= read("probe_groups", np.int64)[:, None] == read("face_groups", np.int64)[None, :]
+                scores[barred | (scores < threshold)] = -1.0
+                scores = np.round(scores, 12)
+                at = scores.argmax(axis=1)
+                top = scores[np.arange(len(at)), at]
+                keep = top >= 0.0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(probe[keep]), pa.array(face[at][keep]), pa.array(top[keep])], ["case_id", "match_case_id", "similarity"])
+
+    found = asked.join(blocks, "join_group").drop("join_group").mapInArrow(best, "case_id long, match_case_id long, similarity double")
+    matched = (
         found.groupBy("case_id")
         .agg(F.max_by(F.struct("match_case_id", "similarity"), F.struct("similarity", -F.col("match_case_id"))).alias("b"))
         .select("case_id", "b.match_case_id", "b.similarity")
     )
+    named = [c for c in ("case_number", "full_name") if c in gallery.columns]
+    if not named:
+        return matched
+    # several rows of one case may carry names; the smallest of each is shown
+    names = gallery.groupBy(F.col("case_id").cast("long").alias("match_case_id")).agg(*[F.min(c).alias(f"match_{c}") for c in named])
+    return matched.join(names, "match_case_id", "left").select("case_id", "match_case_id", "similarity", *[f"match_{c}" for c in named])
 
 
 def gallery_hits(probes: DataFrame, gallery: DataFrame, **options) -> DataFrame:

@@ -8,6 +8,10 @@ from ..functions import fixed
 from ..functions.dates import yymmdd
 from ..functions.phonetic import metaphone
 from ..functions.text import alnum_upper, blank_to_null, deletions, fuzzy_equal, within_one_edit
+from .ranking import numbered
+
+#: Versions of one identity that are numbered together.
+SUBMISSION_STRETCH = 1024
 
 _EVIDENCE = "struct<method:string,query_token:string,matched_token:string,edit_distance:int>"
 
@@ -246,23 +250,30 @@ def watchlist_screen(cases: DataFrame, entries: DataFrame, order: str = "entry_o
 # --- submissions of one identity ------------------------------------------------
 
 
+def _consecutive(submissions: DataFrame, key: str, order: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Submissions that have one before them, and those by the position of the next.
+
+    Positions follow ``order``, whatever gaps it has. They are counted in stretches of
+    it, so the history of one identity is spread over tasks.
+    """
+    placed = numbered(submissions.select(*columns), [key], [order], F.floor(F.col(order) / SUBMISSION_STRETCH), "_position")
+    return placed.where(F.col("_position") > 1), placed.withColumn("_position", F.col("_position") + 1)
+
+
 def change_detection(submissions: DataFrame, key: str = "identity_key", order: str = "version") -> DataFrame:
     """Field-by-field difference between consecutive submissions of an identity.
 
-    The previous submission is found by joining on (identity, version - 1), which
-    spreads one identity's submissions over the cluster; versions count from 1.
+    The previous submission is the one with the next smaller ``order``; a whole number
+    that need not be gapless, but differs between an identity's submissions.
     """
     fields = list(fixed.CHANGE_FIELDS)
     keep = [c for c in ("mrz_parsed", "portrait_status") if c in submissions.columns]
-    later = submissions.where(F.col(order) > 1).select(
-        key, order, *keep, F.struct(*fields).alias("v2")
-    )
+    later, earlier = _consecutive(submissions, key, order, [key, order, *keep, *fields])
+    later = later.select(key, order, "_position", *keep, F.struct(*fields).alias("v2"))
     parsed = F.col("mrz_parsed") if "mrz_parsed" in keep else F.lit(True)
-    earlier = submissions.select(
-        key, (F.col(order) + 1).alias(order), F.struct(*fields).alias("v1"), parsed.alias("v1_parsed")
-    )
+    earlier = earlier.select(key, "_position", F.struct(*fields).alias("v1"), parsed.alias("v1_parsed"))
     # A pair with an unreadable side is never reported as unchanged.
-    pairs = later.join(earlier, [key, order]).where(parsed & F.col("v1_parsed"))
+    pairs = later.join(earlier, [key, "_position"]).where(parsed & F.col("v1_parsed"))
 
     def shown(field: str, value: Column) -> Column:
         if field not in ("birth_date", "expiry_date"):
@@ -303,8 +314,7 @@ def change_summary(submissions: DataFrame, key: str = "identity_key", order: str
         F.count_if("changed").alias("changed_field_count"),
         F.transform(labels, lambda x: x["label"]).alias("changed_fields"),
     )
-    prior = submissions.select(key, (F.col(order) + 1).alias(order))
-    pairs = submissions.where(F.col(order) > 1).select(key, order).join(prior, [key, order])
+    pairs = _consecutive(submissions, key, order, [key, order])[0].select(key, order)
     return pairs.join(changed, [key, order], "left").select(
         key, order,
         F.when(F.col("changed_field_count").isNull(), "UNVERIFIABLE")

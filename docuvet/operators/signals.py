@@ -164,13 +164,14 @@ def top_bin_share(bins: DataFrame, key: str = "image_id") -> DataFrame:
     band = bins.where((F.col("radius") >= low) & (F.col("radius") < high)).withColumn(
         "energy", F.col("magnitude") * F.col("magnitude")
     )
-    totals = band.groupBy(key).agg(exact_sum(F.col("energy")).alias("total"))
+    # a share does not depend on the unit of energy, so plain sums do for any magnitude
+    totals = band.groupBy(key).agg(F.sum("energy").alias("total"))
     order = Window.partitionBy(key).orderBy(F.desc("energy"), "bin_no")
     tops = (
         band.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= fixed.FREQUENCY_TOP_BINS)
         .groupBy(key)
-        .agg(exact_sum(F.col("energy")).alias("top"))
+        .agg(F.sum("energy").alias("top"))
     )
     every = bins.select(key).distinct()
     share = F.when(F.col("total") > 0, F.col("top") / F.col("total")).otherwise(F.lit(0.0))

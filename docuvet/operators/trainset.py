@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .ranking import hash_number, shuffled, stable_hash
+from .ranking import hash_number, numbered, shuffled, stable_hash
 
 PATCH = 64
+#: Identities that the order of all of them is cut at, and the sample they come from.
+CUTS = 256
+CUT_SAMPLE = 4096
+
+
+def present_shares(rows: DataFrame, shares: dict[str, float], domain: str = "domain") -> dict[str, float]:
+    """The shares of listed domains that have rows, scaled to a sum of one. Reads back one row per listed domain."""
+    found = {r[0] for r in rows.where(F.col(domain).isin(list(shares))).select(domain).distinct().collect()}
+    total = sum(share for name, share in shares.items() if name in found)
+    return {name: share / total for name, share in shares.items() if name in found and share > 0} if total else {}
 
 
 def domain_weights(rows: DataFrame, shares: dict[str, float], domain: str = "domain") -> DataFrame:
-    """Sampling weight of every row: its domain's share over the domain's size."""
+    """Sampling weight of every row: its domain's share over the domain's size.
+
+    Shares are those among the listed domains that have rows; unlisted domains weigh 0.
+    """
+    shares = present_shares(rows, shares, domain)
     counts = rows.groupBy(domain).agg(F.count("*").alias("_n"))
+    if not shares:
+        return rows.withColumn("weight", F.lit(0.0))
     share = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col(domain)]
     sized = counts.select(domain, (F.coalesce(share, F.lit(0.0)) / F.col("_n")).alias("weight"))
     return rows.join(sized, domain)
@@ -24,8 +40,12 @@ def domain_balanced_sample(
 
     Each draw hashes to a domain and then to a position in it. Positions come from
     bucketed numbering, so the largest domain is not sorted by one task, and the
-    same seed gives the same sample on any cluster.
+    same seed gives the same sample on any cluster. Shares are those among the listed
+    domains that have rows, so every draw finds one; unlisted domains are never drawn.
     """
+    shares = present_shares(rows, shares, domain)
+    if not shares:
+        return rows.limit(0).withColumn("draw", F.lit(0).cast("long"))
     placed = shuffled(rows, [domain], key, seed, "_pos")
     counts = rows.groupBy(domain).agg(F.count("*").alias("_n"))
     spin = hash_number(stable_hash(seed, "domain", F.col("draw"))) / F.lit(float(1 << 60))
@@ -59,24 +79,20 @@ def train_val_split(rows: DataFrame, fraction: float = 0.2, seed: int = 42, key:
     )
 
 
-def identity_labels(images: DataFrame, min_images: int = 2, identity: str = "identity", prefix: int = 12) -> DataFrame:
+def identity_labels(images: DataFrame, min_images: int = 2, identity: str = "identity") -> DataFrame:
     """Dense label ids in sorted identity order; too small identities are dropped.
 
-    Works on one row per identity. The order is built from prefix buckets, so no
-    window spans all identities.
+    Works on one row per identity. The order is cut at identities taken from a bounded
+    sample, so stretches are about equal whatever the names look like, and no window
+    spans all identities.
     """
     sizes = images.groupBy(identity).agg(F.count("*").alias("n_images"))
     kept = sizes.where(F.col("n_images") >= min_images)
-    bucketed = kept.withColumn("_b", F.substring(identity, 1, prefix))
-    per_bucket = bucketed.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy("_b").orderBy(identity)
-    return (
-        bucketed.withColumn("_r", F.row_number().over(inside))
-        .join(offsets, "_b")
-        .select(identity, "n_images", (F.col("_o") + F.col("_r") - 1).cast("long").alias("label"))
-    )
+    spread = kept.select(identity).orderBy(F.xxhash64(identity)).limit(CUT_SAMPLE).toPandas()[identity].sort_values()
+    cuts = spread.iloc[:: max(1, len(spread) // CUTS)].tolist()
+    stretch = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(identity))) if cuts else F.lit(0)
+    labelled = numbered(kept, [], [identity], stretch, "label")
+    return labelled.select(identity, "n_images", (F.col("label") - 1).alias("label"))
 
 
 def identity_report(images: DataFrame, min_images: int = 2, identity: str = "identity") -> DataFrame:

@@ -175,11 +175,11 @@ _RANK = "case severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' t
 
 
 @add("i8_list_cases", ["fx_cases", "fx_checks"],
-     f"""with page as (select case_id, case_number, created_at from @fx_cases c where risk_level = 'HIGH' and contains(lower(country), 'nation_1') order by created_at desc, case_id desc limit 50 offset 20),
+     f"""with page as (select case_id, case_number, created_at from @fx_cases c where risk_level = 'HIGH' and contains(lower(country), 'nation_1') order by created_at desc, case_id desc limit 500 offset 20),
  f as (select k.case_id, label, row_number() over (partition by k.case_id order by {_RANK}, score_impact desc, label, check_seq, part_ref, tie_ref) as rn from @fx_checks k join page p on p.case_id = k.case_id where status = 'FAIL')
  select p.case_id, p.case_number, count(f.label) as flagged_check_count, coalesce(string_agg(label, ', ' order by rn) filter (where rn <= 2), '') as top_flagged_checks from page p left join f on f.case_id = p.case_id group by p.case_id, p.case_number""")
 def _(cases, checks):
-    page = analytics.list_cases(cases, checks, risk_level="HIGH", country="Nation_1", limit=50, offset=20)
+    page = analytics.list_cases(cases, checks, risk_level="HIGH", country="Nation_1", limit=500, offset=20)
     return page.select("case_id", "case_number", "flagged_check_count", F.array_join("top_flagged_checks", ", ").alias("top_flagged_checks"))
 
 
@@ -212,9 +212,9 @@ def _(cases):
 
 
 @add("i12_audit_search", ["fx_audit"],
-     """select seq, action, actor from @fx_audit a where contains(lower(action), 'upload') and contains(lower(actor), 'officer-1') order by event_ts desc, seq desc limit 50 offset 10""")
+     """select seq, action, actor from @fx_audit a where contains(lower(action), 'upload') and contains(lower(actor), 'officer-1') order by event_ts desc, seq desc limit 500 offset 10""")
 def _(audit):
-    return analytics.audit_search(audit, action="upload", actor="Officer-1", offset=10).select("seq", "action", "actor")
+    return analytics.audit_search(audit, action="upload", actor="Officer-1", limit=500, offset=10).select("seq", "action", "actor")
 
 
 @add("i13_audit_actor_class", ["fx_audit"],
@@ -237,7 +237,7 @@ _PCT = lambda cond: f"cast(floor(count(*) filter (where {cond}) * 100.0::double
 
 
 @add("i15_kpi_ratios", ["fx_cases"],
-     "select " + ", ".join([f"{_PCT(chr(111) + 'fficer_decision = ' + repr('CLEARED'))} as mitigation_percent", f"{_PCT('risk_level in (' + repr('HIGH') + ', ' + repr('CRITICAL') + ')')} as yield_percent"]
+     "select " + ", ".join([f"{_PCT("officer_decision = 'CLEARED'")} as mitigation_percent", f"{_PCT("risk_level in ('HIGH', 'CRITICAL')")} as yield_percent"]
                            + [f"{_PCT('risk_level = ' + repr(t))} as {t.lower()}_percent" for t in fixed.TIERS]) + " from @fx_cases c")
 def _(cases):
     return analytics.kpi_ratios(cases)

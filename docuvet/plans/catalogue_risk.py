@@ -186,7 +186,7 @@ _D = {"document_number": ("Document Number", "CRITICAL"), "surname": ("Surname",
       "birth_date": ("Date of Birth", "HIGH"), "expiry_date": ("Date of Expiry", "HIGH"), "sex": ("Sex", "MEDIUM"),
       "nationality": ("Nationality", "MEDIUM"), "country": ("Issuing Country", "MEDIUM")}
 _SHOWN = lambda t, f: f"coalesce(strftime({day6(t + '.' + f)}, '%d/%m/%Y'), {t}.{f})" if f.endswith("_date") else f"{t}.{f}"
-_PAIRS = "from @fx_submissions a join @fx_submissions b on a.identity_key = b.identity_key and a.version = 1 and b.version = 2"
+_PAIRS = "from (select *, lag(version) over (partition by identity_key order by version) as earlier from @fx_submissions s0) b join @fx_submissions a on a.identity_key = b.identity_key and a.version = b.earlier"
 DIFFS = "(" + " union all ".join(
     [f"select b.identity_key, b.version, '{f}' as field, {i} as fno, '{l}' as label, {_SHOWN('a', f)} as v1_value, {_SHOWN('b', f)} as v2_value, {_CHANGED(f)} as changed, case when {_CHANGED(f)} then '{s}' else 'LOW' end as severity {_PAIRS} where a.mrz_parsed and b.mrz_parsed"
      for i, (f, (l, s)) in enumerate(_D.items())]
@@ -344,7 +344,7 @@ def _(*tables):
      f"select case_id, policy_id, risk_score, risk_level from {scored_sql(_P5)} s")
 def _(*tables):
     *inputs, policies = tables
-    every = facts(*inputs).withColumn("policy_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))))
+    every = risk.under_every_policy(facts(*inputs), policies)
     return risk.score_cases(every, policies, AS_OF).select("case_id", "policy_id", "risk_score", "risk_level")
 
 

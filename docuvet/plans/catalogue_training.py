@@ -193,7 +193,7 @@ def _(predictions):
 
 _SHARES = {"src0": 0.5, "src1": 0.25, "src2": 0.25}
 _NUM = lambda digest: f"cast('0x' || substring({digest}, 1, 15) as bigint)"
-_DRAW = f"{_NUM(chr(109) + 'd5(' + repr('42|domain|') + ' || draw)')} / 1152921504606846976.0::double"
+_DRAW = _NUM("md5('42|domain|' || draw)") + " / 1152921504606846976.0::double"
 
 
 @add("l1_domain_weights", ["fx_predictions"],
@@ -207,7 +207,9 @@ def _(predictions):
  d as (select draw, case when {_DRAW} < 0.5::double then 'src0' when {_DRAW} < 0.75::double then 'src1' else 'src2' end as domain from (select unnest(range(0, (select count(*) from f))) as draw) r)
  select d.draw, f.id, f.domain from d join f on f.domain = d.domain and f.pos = {_NUM("md5('42|row|' || draw)")} % f.n + 1""")
 def _(predictions):
-    return trainset.domain_balanced_sample(predictions, _SHARES, predictions.count()).select("draw", "id", "domain")
+    # a domain without rows takes no draws: the others share them as before
+    shares = {name: share / 2 for name, share in _SHARES.items()} | {"absent": 0.5}
+    return trainset.domain_balanced_sample(predictions, shares, predictions.count()).select("draw", "id", "domain")
 
 
 @add("l2_train_val_split", ["fx_predictions"],

@@ -57,13 +57,14 @@ select event_id as seq, ts as event_ts, cast(floor(event_id / 6) as bigint) as c
   when 3 then 'TAMPER_ANALYSIS_COMPLETED' when 4 then 'FACE_VERIFIED' else 'RISK_CALCULATED' end as action,
  case when event_id % 6 = 0 then 'OFFICER-' || lpad(cast(user_id % 20 as string), 2, '0')
   else 'AI-ENGINE' end as actor, props as metadata
-from {events} where event_type <> 'error'
+from {events}
 """
 
 TEXTS["fx_watchlist"] = """
 select s_suppkey as entry_order, 'WL-' || lpad(cast(s_suppkey as string), 6, '0') as watchlist_id,
  upper(p_name) as name, 'X' || lpad(cast(s_suppkey * 13 % 1500 as string), 7, '0') as document_number,
- case s_suppkey % 3 when 0 then 'CRITICAL' when 1 then 'HIGH' else 'MEDIUM' end as severity,
+ case s_suppkey % 3 when 0 then 'CRITICAL' when 1 then 'HIGH'
+  else case when s_suppkey % 2 = 0 then 'MEDIUM' end end as severity,
  'Category ' || cast(s_nationkey as string) as category, s_suppkey % 10 <> 0 as active
 from {supplier} join {part} on p_partkey = s_suppkey * 7
 """
@@ -82,15 +83,15 @@ TEXTS["fx_submissions"] = tuple(
     f"""
 select c_custkey as identity_key, v as version, 'X' || lpad(cast(c_custkey as string), 7, '0') as document_number,
  upper(c_mktsegment) as surname, case when c_custkey % 13 = 0 then '' else 'ANN' end as given_names,
- case when v = 2 and c_custkey % 5 = 0 then '950512' else '880610' end as birth_date,
- case when v = 2 and c_custkey % 3 = 0 then '281115' when c_custkey % 17 = 0 then '30O101' else '300101' end as expiry_date,
- case when v = 2 and c_custkey % 7 = 0 then 'F' else 'M' end as sex,
- case when v = 2 and c_custkey % 11 = 0 then null when c_custkey % 19 = 0 then '' else 'UTO' end as nationality,
- 'UTO' as country, not (v = 2 and c_custkey % 23 = 0) as mrz_parsed,
+ case when v = 3 and c_custkey % 5 = 0 then '950512' else '880610' end as birth_date,
+ case when v = 3 and c_custkey % 3 = 0 then '281115' when c_custkey % 17 = 0 then '30O101' else '300101' end as expiry_date,
+ case when v = 3 and c_custkey % 7 = 0 then 'F' else 'M' end as sex,
+ case when v = 3 and c_custkey % 11 = 0 then null when c_custkey % 19 = 0 then '' else 'UTO' end as nationality,
+ 'UTO' as country, not (v = 3 and c_custkey % 23 = 0) as mrz_parsed,
  case when c_custkey % 29 = 0 then 'PORTRAIT_CHANGED' else 'SAME_PORTRAIT' end as portrait_status
 from (select *, {explode} as v from {{customer}}) c
 """
-    for explode in ("explode(array(1, 2))", "unnest([1, 2])")
+    for explode in ("explode(array(1, 3, 7))", "unnest([1, 3, 7])")
 )
 
 TEXTS["fx_predictions"] = """
@@ -149,7 +150,7 @@ select l_orderkey as case_id,
   when 2 then 'photo_boundary_anomaly' when 3 then 'text_compression_anomaly'
   else 'exif_metadata_missing' end as type,
  0.35 + l_discount * 5 as confidence, l_tax as mean_ela, cast(l_partkey % 1000 as double) / 1000 as cnn_prob
-from {lineitem} where l_returnflag = 'A'
+from {lineitem}
 """
 
 # One image per case with its scalar measurements.
@@ -348,12 +349,12 @@ from {supplier}
 """
 
 TEXTS["fx_policies"] = """
-select cast(r_regionkey + 1 as bigint) as policy_id, cast(25 + 2 * r_regionkey as double) / 100 as weight_mrz,
- cast(30 as double) / 100 as weight_tamper, cast(30 - 2 * r_regionkey as double) / 100 as weight_face,
+select cast(n_nationkey + 1 as bigint) as policy_id, cast(25 + 2 * (n_nationkey % 5) as double) / 100 as weight_mrz,
+ cast(30 as double) / 100 as weight_tamper, cast(30 - 2 * (n_nationkey % 5) as double) / 100 as weight_face,
  cast(10 as double) / 100 as weight_consistency, cast(5 as double) / 100 as weight_watchlist,
- cast(24 + r_regionkey as double) as threshold_low, cast(49 + 2 * r_regionkey as double) as threshold_medium,
- cast(74 + 3 * r_regionkey as double) as threshold_high
-from {region}
+ cast(20 + n_nationkey as double) as threshold_low, cast(46 + n_nationkey as double) as threshold_medium,
+ cast(72 + n_nationkey as double) as threshold_high
+from {nation}
 """
 
 TEXTS["fx_policy_edits"] = """

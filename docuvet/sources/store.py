@@ -83,13 +83,15 @@ def replace_per_case(existing: DataFrame, new: DataFrame, key: str = "case_id")
     return existing.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def write_by_case(df: DataFrame, path: str, buckets: int = 64, key: str = "case_id") -> None:
+def write_by_case(df: DataFrame, path: str, buckets: int, files: int = 1, key: str = "case_id") -> None:
     """Write under hash buckets of the case, overwriting only the buckets present.
 
+    ``buckets`` should leave a few gigabytes in each; ``files`` tasks write one bucket.
+
     Re-running after a lost executor rewrites the same buckets with the same rows.
     """
     bucketed = df.withColumn("case_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
     (
-        bucketed.repartition("case_bucket").write.mode("overwrite")
+        bucketed.repartition("case_bucket", F.pmod(F.xxhash64(*df.columns), F.lit(files))).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("case_bucket").parquet(path)
     )
