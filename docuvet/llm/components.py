@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .support import shuffle_partitions
+from .support import shuffle_partitions, tidy
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +53,7 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     shape = "u long, v long"
     parts = shuffle_partitions(links)
-    edges = links.where("u is not null and v is not null and u <> v").mapInArrow(_contract, shape)
+    edges = links.where("u is not null and v is not null and u <> v").mapInArrow(tidy(_contract), shape)
     edges = materialize(edges, "links")
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -67,7 +67,7 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
                                                          F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v").where("u <> v").distinct()
         )
-        contracted = small.repartition(parts, "v").mapInArrow(_contract, shape).distinct()
+        contracted = small.repartition(parts, "v").mapInArrow(tidy(_contract), shape).distinct()
         edges = materialize(contracted, "links")
         # Stars are flat and apart when no centre is also a leaf and no leaf has two centres.
         leaves = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import ppm
-from .support import text_rows
+from .support import text_rows, tidy
 
 UNDETERMINED = "und"
 #: Expected number of training texts taken of each language, chosen by a hash of their key.
@@ -43,7 +43,7 @@ def learn(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, order: int = pp
                 ["language", "code", "n"])
 
     grams = (
-        chosen.select("language", "raw_text").mapInArrow(count, "language string, code long, n long")
+        chosen.select("language", "raw_text").mapInArrow(tidy(count), "language string, code long, n long")
         .groupBy("language", "code").agg(F.sum("n").alias("n")).toPandas()
     )
     names = sorted(grams["language"].unique())
@@ -98,4 +98,4 @@ def identify_language(cases: DataFrame, labelled: DataFrame, sample_texts: int =
             columns["nats_per_byte"] = pa.array(rate, mask=~known)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return rows.mapInArrow(predict, f"{shape}, language string, score double, nats_per_byte double")
+    return rows.mapInArrow(tidy(predict), f"{shape}, language string, score double, nats_per_byte double")

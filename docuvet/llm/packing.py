@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize
-from .support import shuffle_partitions, text_rows
+from .support import shuffle_partitions, text_rows, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -143,7 +143,7 @@ def tokenize_cases(cases: DataFrame, tokenizer_path: str, capacity: int = CAPACI
                 ["case_id", "piece", "start", "length", "ids"])
 
     rows = cases.select(F.col("case_id").cast("long").alias("case_id"), F.col("raw_text").cast("string").alias("raw_text"))
-    return rows.mapInArrow(pieces, "case_id long, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(tidy(pieces), "case_id long, piece int, start long, length long, ids binary")
 
 
 def _best_configuration(values: np.ndarray, units: int) -> dict[int, int]:
@@ -329,7 +329,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 [*columns, pa.array(table[at, 2] + ordinal - table[at, 1]), pa.array(table[at, 3])],
                 [*names, "sequence_id", "offset"])
 
-    return numbered.mapInArrow(place, f"{shape}, sequence_id long, offset long")
+    return numbered.mapInArrow(tidy(place), f"{shape}, sequence_id long, offset long")
 
 
 def pack_cases(cases: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

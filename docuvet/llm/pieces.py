@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .repeats import suffix_order
-from .support import ragged, text_rows
+from .support import ragged, text_rows, tidy
 
 #: SentencePiece's mark for a space.
 MARK = "▁"
@@ -285,7 +285,7 @@ def encode_cases(cases: DataFrame, model_path: str) -> DataFrame:
                 [pa.array(keys, pa.int64()), pa.array(encoder.encode(texts), pa.binary())], ["case_id", "piece_ids"])
 
     rows = cases.select(F.col("case_id").cast("long").alias("case_id"), F.col("raw_text").cast("string").alias("raw_text"))
-    return rows.mapInArrow(encode, "case_id long, piece_ids binary")
+    return rows.mapInArrow(tidy(encode), "case_id long, piece_ids binary")
 
 
 def decode_cases(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -306,4 +306,4 @@ def decode_cases(encoded: DataFrame, model_path: str) -> DataFrame:
                 [batch.column("case_id"), batch.column("piece_ids"), pa.array(texts, pa.string())], ["case_id", "piece_ids", "raw_text"])
 
     rows = encoded.select(F.col("case_id").cast("long").alias("case_id"), F.col("piece_ids"))
-    return rows.mapInArrow(decode, "case_id long, piece_ids binary, raw_text string")
+    return rows.mapInArrow(tidy(decode), "case_id long, piece_ids binary, raw_text string")

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .support import mix, ragged, shuffle_partitions, text_rows
+from .support import mix, ragged, shuffle_partitions, text_rows, tidy
 
 WINDOW = 100
 GRAM = 24
@@ -459,7 +459,7 @@ def _frequent_anchors(rows: DataFrame, window: int, gram: int) -> np.ndarray:
     chosen = rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30)))
     least = max(LEAST, int(FREQUENT * min(total, SAMPLE_TEXTS)))
     found = (
-        chosen.mapInArrow(anchors, "h long, around long").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+        chosen.mapInArrow(tidy(anchors), "h long, around long").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= least).select("h").toPandas()
     )
     return np.sort(found["h"].to_numpy(np.int64).view(np.uint64))
@@ -496,14 +496,14 @@ def remove_repeats(cases: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
         pairs = (pair for keys, texts in text_rows(batches, "row", "raw_text") for pair in zip(keys, texts))
         return _gather(pairs, buckets, frequent.value, window, gram)
 
-    spread = rows.mapInArrow(gather, _ROWS_SHAPE).groupBy("bucket")
-    told = materialize(spread.applyInArrow(lambda table: _settle(table, window), _SPANS_SHAPE), "runs")
+    spread = rows.mapInArrow(tidy(gather), _ROWS_SHAPE).groupBy("bucket")
+    told = materialize(spread.applyInArrow(tidy(lambda table: _settle(table, window)), _SPANS_SHAPE), "runs")
     named = texts.withColumn("id", F.coalesce("case_id", F.lit(int(_NO_ID))))
     open_ = told.where("hash is not null").groupBy("id", "salt").agg(
         F.collect_list(F.struct("start", "end", "hash")).alias("stretches"))
     passages = named.join(open_, ["id", "salt"]).select("id", "salt", "raw_text", "stretches").mapInArrow(
-        lambda batches: _fetch(batches, buckets, window), _ROWS_SHAPE)
-    compared = passages.groupBy("bucket").applyInArrow(lambda table: _index(table, window, shard_bytes), _SPANS_SHAPE)
+        tidy(lambda batches: _fetch(batches, buckets, window)), _ROWS_SHAPE)
+    compared = passages.groupBy("bucket").applyInArrow(tidy(lambda table: _index(table, window, shard_bytes)), _SPANS_SHAPE)
     spans = told.where("hash is null").drop("hash").unionByName(compared.drop("hash"))
     per_text = materialize(spans.groupBy("id", "salt").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeats")
     joined = named.join(per_text, ["id", "salt"], "left")
@@ -533,4 +533,4 @@ def remove_repeats(cases: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
                 ["case_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     return joined.select("case_id", "raw_text", "spans").mapInArrow(
-        cut, "case_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary")
+        tidy(cut), "case_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 from . import ppm
-from .support import shuffle_partitions, text_rows
+from .support import shuffle_partitions, text_rows, tidy
 
 #: Text bytes whose tokens share one dictionary.
 BATCH_BYTES = 8 << 20
@@ -46,7 +46,7 @@ def train(cases: DataFrame, order: int = ppm.ORDER, max_contexts: int = MAX_CONT
                 [pa.array(codes[at:at + (1 << 16)].astype(np.int64)), pa.array(counts[at:at + (1 << 16)])], ["code", "n"])
 
     grams = materialize(
-        cases.where("trains").select("case_id", "raw_text").mapInArrow(count, "code long, n long")
+        cases.where("trains").select("case_id", "raw_text").mapInArrow(tidy(count), "code long, n long")
         .groupBy("code").agg(F.sum("n").alias("n")), "gram-counts")
     levels = []
     for length in range(order + 1):
@@ -198,12 +198,12 @@ def score_cases(cases: DataFrame, order: int = ppm.ORDER) -> DataFrame:
         F.coalesce(F.col("trains"), F.lit(False)).alias("trains"))
     model = spark.sparkContext.broadcast(train(rows, order))
     read = rows.select(F.struct("case_id", "trains").alias("row"), "raw_text").mapInArrow(
-        lambda batches: _read(model.value, batches, buckets), _BATCH_SHAPE)
+        tidy(lambda batches: _read(model.value, batches, buckets)), _BATCH_SHAPE)
     read = materialize(read, "text-batches")
     counted = (
         read.select("batch", "words", "n_words", "counts", "buckets")
-        .mapInArrow(_split, "bucket long, batch long, words binary, counts binary")
-        .groupBy("bucket").applyInArrow(_total, "batch long, bucket long, counts binary, n long, v long")
+        .mapInArrow(tidy(_split), "bucket long, batch long, words binary, counts binary")
+        .groupBy("bucket").applyInArrow(tidy(_total), "batch long, bucket long, counts binary, n long, v long")
     )
     counted = materialize(counted, "word-counts")
     sums = counted.where("batch = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 from . import components
-from .support import groups, shuffle_partitions, text_rows
+from .support import groups, shuffle_partitions, text_rows, tidy
 
 BITS = 64
 SHINGLE_WORDS = 4
@@ -152,7 +152,7 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, split_from: int =
     links = lambda batches: bucket_links(batches, radius)
     shallow = (
         rows.join(full, ["t", "key"], "left_anti").repartition(parts, "t", "key").sortWithinPartitions("t", "key", "fp")
-        .mapInArrow(links, "u long, v long")
+        .mapInArrow(tidy(links), "u long, v long")
     )
     second = covering_masks(radius=radius, seed=SEED + 1)
     again = F.explode(F.arrays_zip(F.lit(list(range(len(second)))).alias("t2"), F.array(*[F.lit(m) for m in _signed(second)]).alias("mask")))
@@ -160,7 +160,7 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, split_from: int =
         rows.join(full, ["t", "key"], "left_semi").select("t", "key", "fp", again.alias("m"))
         .select("t", "key", F.col("m.t2").cast("long").alias("t2"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key2"), "fp")
         .repartition(parts, "t", "key", "t2", "key2").sortWithinPartitions("t", "key", "t2", "key2", "fp")
-        .mapInArrow(links, "u long, v long")
+        .mapInArrow(tidy(links), "u long, v long")
     )
     return shallow.unionByName(deep)
 
@@ -191,7 +191,7 @@ def near_duplicate_cases(cases: DataFrame, width: int = SHINGLE_WORDS, radius: i
     text = F.col("raw_text").cast("string")
     rows = cases.select(F.struct(F.col("case_id").cast("long").alias("case_id"), F.xxhash64(text).alias("text_hash")).alias("row"),
                         text.alias("raw_text"))
-    marked = materialize(rows.mapInArrow(prints, "case_id long, text_hash long, fp long"), "fingerprints")
+    marked = materialize(rows.mapInArrow(tidy(prints), "case_id long, text_hash long, fp long"), "fingerprints")
     # spread over all tasks: each row becomes one per mask
     distinct = marked.groupBy("fp").agg(F.min("case_id").alias("first")).repartition(shuffle_partitions(cases), "fp")
     distinct = materialize(distinct, "distinct-fingerprints")

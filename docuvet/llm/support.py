@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,33 @@ def text_rows(batches: Iterator[pa.RecordBatch], key: str, text: str, chunk_byte
             yield keys[start:], [t or b"" for t in texts[start:].to_pylist()]
 
 
+def release() -> None:
+    """Give freed memory back to the system; an idle worker otherwise keeps the most it ever needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
+def tidy(work: Callable) -> Callable:
+    """A task function, of batches or of one group's table, that releases memory when it is done."""
+
+    def stream(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    def one(table):
+        try:
+            return work(table)
+        finally:
+            release()
+
+    return lambda data: one(data) if isinstance(data, pa.Table) else stream(data)
+
+
 def remainder(key: Column, divisor: int) -> Column:
     """crc32 of a key written as text, modulo ``divisor``; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % divisor
