@@ -13,10 +13,12 @@ from .ranking import numbered, stable_hash
 
 def purge_biometrics(
     purge: DataFrame, cases: DataFrame, analyses: DataFrame, gallery: DataFrame, at: Column, triggered_by: str,
+    stored: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Scrub the biometrics of the listed cases; the cases and scores stay.
 
-    ``purge``: case_id. Returns the new cases, analyses and gallery, the paths of
+    ``purge``: case_id. ``stored`` (path): the files that exist; without it every file a
+    case may have is taken to exist. Only existing files are listed and counted. Returns the new cases, analyses and gallery, the paths of
     artefacts to delete, and the events to seal into the ledger.
     """
     listed = purge.select("case_id").distinct().withColumn("_purge", F.lit(True))
@@ -45,6 +47,8 @@ def purge_biometrics(
     )
     known = listed.join(cases.select("case_id", "case_number"), "case_id")
     artefacts = live.unionByName(derived.join(cases.select("case_id"), "case_id", "left_semi"))
+    if stored is not None:
+        artefacts = artefacts.join(stored.select("path").distinct(), "path", "left_semi").select("case_id", "path")
     counts = artefacts.groupBy("case_id").agg(F.count("*").alias("n"))
     meta = F.create_map(
         F.lit("protocol"), F.lit("GDPR-Art17-Privacy-by-Design"),

@@ -148,44 +148,35 @@ def patch_manifest(
     """
     forged = F.col("forged") if "forged" in images.columns else F.lit(True)
     known = forged & F.col("x").isNotNull()
+    # Draws are rows before they are hashed: one digest each, in generated code. The
+    # first digits of it place x, the next ones y.
+    draws = F.array(*[F.struct(F.lit("in").alias("kind"), F.lit(i).alias("no")) for i in range(1, inside + 1)],
+                    *[F.struct(F.lit("out").alias("kind"), F.lit(i).alias("no")) for i in range(1, outside * 5 + 1)])
+    box = [c for c in ("x", "y", "w", "h", "forged") if c in images.columns]
+    drawn = (
+        images.select(key, "img_w", "img_h", *box, F.explode(draws).alias("d"))
+        .where((F.col("d.kind") == "in") | known)
+        .withColumn("digest", stable_hash(seed, F.col(key), F.col("d.kind"), F.col("d.no")))
+    )
+    number = lambda first: F.conv(F.substring("digest", first, 15), 16, 10).cast("long")
 
-    def within(axis: str, i: Column, span: Column) -> Column:
+    def within(first: int, span: Column) -> Column:
         # Uniform over 0 .. max(1, span - 1), both ends included.
-        top = F.greatest(F.lit(1), span - 1)
-        return F.pmod(hash_number(stable_hash(seed, F.col(key), axis, i)), top + 1)
-
-    def patch(cx: Column, cy: Column, label: Column, origin: Column | str) -> Column:
-        corner = lambda at, size: F.greatest(F.lit(0), F.least(size - PATCH, at - PATCH // 2))
-        origin = F.lit(origin) if isinstance(origin, str) else origin
-        return F.struct(
-            corner(cx, F.col("img_w")).cast("long").alias("patch_x"),
-            corner(cy, F.col("img_h")).cast("long").alias("patch_y"),
-            label.cast("int").alias("label"), origin.alias("origin"),
-        )
+        return F.pmod(number(first), F.greatest(F.lit(1), span - 1) + 1)
 
     x, y, w, h = (F.col(c) for c in ("x", "y", "w", "h"))
-    first = F.transform(
-        F.sequence(F.lit(1), F.lit(inside)),
-        lambda i: F.when(
-            known, patch(x + within("ix", i, w), y + within("iy", i, h), F.lit(1), "INSIDE")
-        ).otherwise(
-            patch(within("ax", i, F.col("img_w")), within("ay", i, F.col("img_h")), forged.cast("int"),
-                  F.when(forged, "WEAK").otherwise("REAL"))
-        ),
-    )
-    tries = F.transform(
-        F.sequence(F.lit(1), F.lit(outside * 5)),
-        lambda i: F.struct(
-            F.pmod(hash_number(stable_hash(seed, F.col(key), "ox", i)), F.col("img_w")).alias("cx"),
-            F.pmod(hash_number(stable_hash(seed, F.col(key), "oy", i)), F.col("img_h")).alias("cy"),
-        ),
-    )
-    free = F.slice(
-        F.filter(tries, lambda p: ~(p["cx"].between(x, x + w) & p["cy"].between(y, y + h))), 1, outside
-    )
-    second = F.transform(free, lambda p: patch(p["cx"], p["cy"], F.lit(0), "OUTSIDE"))
-    none = F.array().cast("array<struct<patch_x:bigint,patch_y:bigint,label:int,origin:string>>")
-    patches = F.concat(first, F.when(known, second).otherwise(none))
-    return images.select(key, F.posexplode(patches).alias("pos", "p")).select(
-        key, (F.col("pos") + 1).alias("patch_no"), "p.*"
-    )
+    out = F.col("d.kind") == "out"
+    placed = drawn.withColumns({
+        "cx": F.when(out, F.pmod(number(1), F.col("img_w"))).when(known, x + within(1, w)).otherwise(within(1, F.col("img_w"))),
+        "cy": F.when(out, F.pmod(number(16), F.col("img_h"))).when(known, y + within(16, h)).otherwise(within(16, F.col("img_h"))),
+    }).where(~out | ~(F.col("cx").between(x, x + w) & F.col("cy").between(y, y + h)))
+    # A handful of draws per image: fold them back to number the free ones.
+    corner = lambda at, size: F.greatest(F.lit(0), F.least(size - PATCH, at - PATCH // 2)).cast("long")
+    patch = F.struct(
+        out.alias("out"), F.col("d.no").alias("no"), corner(F.col("cx"), F.col("img_w")).alias("patch_x"),
+        corner(F.col("cy"), F.col("img_h")).alias("patch_y"),
+        F.when(out, 0).when(known, 1).otherwise(forged.cast("int")).alias("label"),
+        F.when(out, "OUTSIDE").when(known, "INSIDE").when(forged, "WEAK").otherwise("REAL").alias("origin"))
+    folded = placed.groupBy(key).agg(F.array_sort(F.collect_list(patch)).alias("p"))
+    return folded.select(key, F.posexplode(F.slice("p", 1, inside + outside)).alias("pos", "p")).select(
+        key, (F.col("pos") + 1).alias("patch_no"), "p.patch_x", "p.patch_y", "p.label", "p.origin")

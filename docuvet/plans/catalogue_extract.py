@@ -8,6 +8,7 @@ from ..functions import fixed, mrz as zone
 from ..functions.text import body_of, lines_of, printed_date, value_after_fuzzy_label, value_after_label
 from ..operators import extract, mrz
 from ..sources import annotations, manifests, store
+from ..session import scratch_dir
 from .harness import Catalogue, py_round
 
 CATALOGUE = Catalogue()
@@ -59,7 +60,11 @@ TYPED = f"(select *, {_KIND} as document_type from {LINES} l)"
 @add("a1_load_store", ["fx_audit"],
      """select seq, action, cast(json_extract(metadata, '$.k') as integer) as k from @fx_audit a""")
 def _(audit):
-    return store.typed_json(audit, {"metadata": "struct<k:int>"}).select("seq", "action", "metadata.k")
+    root = scratch_dir(audit.sparkSession, "case-store")
+    rows = audit.withColumns({"event_ts": F.col("event_ts").cast("timestamp"), "previous_hash": F.lit(None).cast("string"), "entry_hash": F.lit(None).cast("string")})
+    rows.write.parquet(f"{root}/audit_logs")
+    held = store.load_table(audit.sparkSession, root, "audit_logs")
+    return store.typed_json(held, {"metadata": "struct<k:int>"}).select("seq", "action", "metadata.k")
 
 
 @add("a2_ocr_lines", ["fx_ocr_text"],
@@ -110,6 +115,9 @@ def _(forgeries, files):
  union all select path, 'YLFW:' || split_part(path, '/', -2) from @fx_paths p where contains(path, '/ylfw/') and regexp_matches(lower(path), '\.(jpg|jpeg|png|bmp)$')
  union all select file_name, 'CALFW:' || identity from @fx_face_csv c""")
 def _(paths, metadata):
+    listing = scratch_dir(metadata.sparkSession, "face-listing")
+    metadata.write.option("header", "true").csv(listing)
+    metadata = manifests.read_metadata_csv(metadata.sparkSession, listing)
     return manifests.identity_manifest(
         paths.where(F.contains("path", F.lit("/fgnet/"))), paths.where(F.contains("path", F.lit("/ylfw/"))), metadata
     )

@@ -260,16 +260,18 @@ def _(predictions, documents):
     return rounded(trainset.group_accuracy(val, domains.unionByName(never)))
 
 
-_AXIS = lambda axis, i, span: f"{_NUM(f'md5({chr(39)}42|{chr(39)} || image || {chr(39)}|{axis}|{chr(39)} || {i})')} % (greatest(1, {span} - 1) + 1)"
-_TRY = lambda axis, i, size: f"{_NUM(f'md5({chr(39)}42|{chr(39)} || image || {chr(39)}|{axis}|{chr(39)} || {i})')} % {size}"
+# One digest per draw: its first 15 digits place x, the next 15 y.
+_AT = lambda axis, draw, i: f"cast('0x' || substring(md5('42|' || image || '|{draw}|' || {i}), {1 if axis == 'x' else 16}, 15) as bigint)"
+_AXIS = lambda axis, draw, i, span: f"{_AT(axis, draw, i)} % (greatest(1, {span} - 1) + 1)"
+_TRY = lambda axis, draw, i, size: f"{_AT(axis, draw, i)} % {size}"
 _CORNER = lambda at, size: f"greatest(0, least({size} - 64, {at} - 32))"
 
 
 @add("l6_patch_manifest", ["fx_forgeries", "fx_annotations"],
      f"""with b as materialized (select r.*, f.img_w, f.img_h from ({_RESOLVED}) r join @fx_forgeries f on f.image = r.image),
- t as (select image, img_w, img_h, k, {_TRY('ox', 'k', 'img_w')} as cx, {_TRY('oy', 'k', 'img_h')} as cy, x, y, w, h from (select *, unnest(range(1, 11)) as k from b where resolved) q)
- select image, 1 as label, 'INSIDE' as origin, cast({_CORNER('x + ' + _AXIS('ix', 'k', 'w'), 'img_w')} as bigint) as patch_x, cast({_CORNER('y + ' + _AXIS('iy', 'k', 'h'), 'img_h')} as bigint) as patch_y from (select *, unnest(range(1, 5)) as k from b where resolved) i
- union all select image, 1, 'WEAK', cast({_CORNER(_AXIS('ax', 'k', 'img_w'), 'img_w')} as bigint), cast({_CORNER(_AXIS('ay', 'k', 'img_h'), 'img_h')} as bigint) from (select *, unnest(range(1, 5)) as k from b where not resolved) i
+ t as (select image, img_w, img_h, k, {_TRY('x', 'out', 'k', 'img_w')} as cx, {_TRY('y', 'out', 'k', 'img_h')} as cy, x, y, w, h from (select *, unnest(range(1, 11)) as k from b where resolved) q)
+ select image, 1 as label, 'INSIDE' as origin, cast({_CORNER('x + ' + _AXIS('x', 'in', 'k', 'w'), 'img_w')} as bigint) as patch_x, cast({_CORNER('y + ' + _AXIS('y', 'in', 'k', 'h'), 'img_h')} as bigint) as patch_y from (select *, unnest(range(1, 5)) as k from b where resolved) i
+ union all select image, 1, 'WEAK', cast({_CORNER(_AXIS('x', 'in', 'k', 'img_w'), 'img_w')} as bigint), cast({_CORNER(_AXIS('y', 'in', 'k', 'img_h'), 'img_h')} as bigint) from (select *, unnest(range(1, 5)) as k from b where not resolved) i
  union all select image, 0, 'OUTSIDE', cast({_CORNER('cx', 'img_w')} as bigint), cast({_CORNER('cy', 'img_h')} as bigint) from (select *, row_number() over (partition by image order by k) as rn from t where not (cx between x and x + w and cy between y and y + h)) o where rn <= 2""")
 def _(forgeries, files):
     images = annotations.resolve_tamper_regions(forgeries, annotations.via_regions(files))
@@ -304,28 +306,31 @@ def _audit_stream(spark, sf_dir):
 
 def _stream_latency(spark, sf_dir):
     out = scratch_dir(spark, "stream-latency")
-    result = latency.stream_step_latency(_audit_stream(spark, sf_dir))
+    # the source is bounded: a last event of no case closes the sessions of the last day
+    latency.closing_event(fixtures.load(spark, sf_dir, "fx_audit")).write.parquet(f"{out}/closing")
+    events = _audit_stream(spark, sf_dir)
+    closing = spark.readStream.schema(events.schema).parquet(f"{out}/closing")
+    steps = latency.stream_case_steps(events.unionByName(closing))
     query = (
-        result.writeStream.outputMode("append").format("parquet").option("path", f"{out}/windows")
+        steps.writeStream.outputMode("append").format("parquet").option("path", f"{out}/steps")
         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    # Windows the watermark has not passed yet stay in state and are not part of the result.
-    done = spark.read.schema(result.schema).parquet(f"{out}/windows")
-    return done.select(
+    result = latency.latency_by_window(spark.read.schema(steps.schema).parquet(f"{out}/steps"))
+    return result.select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "module", "sample_count", round_exact(F.col("time_ms"), 6).alias("time_ms")
     )
 
 
 CATALOGUE.queries["s2_stream_step_latency"] = _stream_latency
 _STEP_ACTIONS = ["DOCUMENT_UPLOADED", "OCR_COMPLETED", "MRZ_VALIDATED", "TAMPER_ANALYSIS_COMPLETED", "FACE_VERIFIED", "RISK_CALCULATED"]
-# Days that ended at least two hours before the newest event.
+# Every step of every case, on the day on which it ended.
 CATALOGUE.oracles["s2_stream_step_latency"] = expand(
-    "with s as (select date_trunc('day', event_ts) as d, case_id, "
+    "with s as (select case_id, "
     + ", ".join(f"max(case when action = '{a}' then epoch_us(event_ts) end) as a{i}" for i, a in enumerate(_STEP_ACTIONS))
-    + " from @fx_audit a group by 1, 2), t as (select max(event_ts) - interval 2 hour as late from @fx_audit a) "
+    + " from @fx_audit a group by 1) "
     + " union all ".join(
-        f"select strftime(d, '%Y-%m-%d') as day, '{label}' as module, count(*) as sample_count, {R(f'cast(sum(a{i + 1} - a{i}) as double) / count(*) / 1000.0::double', 6)} as time_ms from s where a4 is not null and a{i + 1} - a{i} >= 0 and d + interval 1 day <= (select late from t) group by d"
+        f"select strftime(make_timestamp(a{i + 1}), '%Y-%m-%d') as day, '{label}' as module, count(*) as sample_count, {R(f'cast(sum(a{i + 1} - a{i}) as double) / count(*) / 1000.0::double', 6)} as time_ms from s where a4 is not null and a{i + 1} - a{i} >= 0 group by 1"
         for i, (_, _, label) in enumerate(fixed.LATENCY_STEPS)
     )
 )

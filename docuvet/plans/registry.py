@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from . import (
-    catalogue_extract, catalogue_operations, catalogue_risk, catalogue_rules, catalogue_training,
+    catalogue_extract, catalogue_operations, catalogue_risk, catalogue_rules, catalogue_screening, catalogue_training,
 )
 from .harness import Query
 
 CATALOGUES = [
     catalogue_extract.CATALOGUE, catalogue_rules.CATALOGUE, catalogue_risk.CATALOGUE,
-    catalogue_operations.CATALOGUE, catalogue_training.CATALOGUE,
+    catalogue_operations.CATALOGUE, catalogue_training.CATALOGUE, catalogue_screening.CATALOGUE,
 ]
 
 
