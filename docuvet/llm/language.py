@@ -14,7 +14,7 @@ from .support import text_rows, tidy
 UNDETERMINED = "und"
 #: Expected number of training texts taken of each language, chosen by a hash of their key.
 SAMPLE_TEXTS = 2_000
-MAX_CONTEXTS = 8_192
+MAX_CONTEXTS = 4_096
 
 
 def learn(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, order: int = ppm.ORDER, max_contexts: int = MAX_CONTEXTS):
@@ -71,12 +71,13 @@ def identify_language(cases: DataFrame, labelled: DataFrame, sample_texts: int =
     names, model = learn(labelled, sample_texts)
     shared = cases.sparkSession.sparkContext.broadcast((names, model))
     rows = cases.select(
-        F.col("case_id").cast("long").alias("case_id"), *[F.col(c).alias(f"kept_{c}") for c in keep],
+        F.col("case_id").cast("long").alias("case_id"), *[F.col(c).alias(f"kept_{c}") for c in keep if c != "raw_text"],
         F.coalesce(F.col("raw_text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
         F.col("raw_text").cast("string").alias("raw_text"),
     )
-    carried = rows.columns[:-2]
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
+    # the text itself crosses to the tasks once, kept or not
+    carried = {c: c for c in rows.columns[:-2]} | ({"kept_raw_text": "raw_text"} if "raw_text" in keep else {})
+    shape = ", ".join(f"`{name}` {rows.schema[source].dataType.simpleString()}" for name, source in carried.items())
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, model = shared.value
@@ -92,7 +93,7 @@ def identify_language(cases: DataFrame, labelled: DataFrame, sample_texts: int =
                 score[some] = 1.0 / np.exp(least[:, None] - nats).sum(axis=1)
                 rate[some] = least / np.array([len(t) + 1 for t in texts])
                 at += len(keys)
-            columns = {name: batch.column(name) for name in carried}
+            columns = {name: batch.column(source) for name, source in carried.items()}
             columns["language"] = pa.array([names[b] if k else UNDETERMINED for b, k in zip(best, known)], pa.string())
             columns["score"] = pa.array(np.where(known, score, 0.0))
             columns["nats_per_byte"] = pa.array(rate, mask=~known)

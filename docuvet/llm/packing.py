@@ -24,7 +24,7 @@ SMALL = 1 / 16
 STEP = 0.3
 ROUNDS = 3_000
 #: Distinct words whose ids a worker remembers at once.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 #: Stops between an ASCII letter and white space: tokens of their own.
 _STOPS = re.compile(rb"(?<=[A-Za-z])([.,]+)(?=[ \n]|$)")
@@ -100,9 +100,9 @@ class Encoder:
         self.known.update(zip(line, map(packed.__getitem__, map(slice, [0, *stops[:-1]], stops))))
         return True
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > REMEMBERED:
+    def encode(self, texts: list[bytes], remember: int = REMEMBERED) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; about ``remember`` words stay known."""
+        if len(self.known) > remember:
             self.known = {}
         # a text that may name a special token keeps its case
         split = [_STOPS.sub(rb" \1", t if b"<|" in t else t.lower()).split() for t in texts]
@@ -116,14 +116,16 @@ class Encoder:
         return [b"".join(map(look, parts)) for parts in split]
 
 
-def tokenize_cases(cases: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def tokenize_cases(cases: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
+                   remember: int = REMEMBERED) -> DataFrame:
     """Token pieces of document analyses.
 
     ``cases``: case_id, raw_text (null: empty); other columns are ignored.
     ``tokenizer_path`` names a file that executors can read. Output, one row per piece:
     case_id, piece (from 0), start (ids of the text before it), length and ids
     (little-endian unsigned 32-bit). Each text ends with ``end_id``; texts longer than
-    ``capacity`` ids are cut into pieces of it, the last one shorter.
+    ``capacity`` ids are cut into pieces of it, the last one shorter. A worker keeps the
+    ids of about ``remember`` words, which trades its memory for speed.
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +133,7 @@ def tokenize_cases(cases: DataFrame, tokenizer_path: str, capacity: int = CAPACI
         close = np.array([end_id], np.uint32).tobytes()
         for keys, texts in text_rows(batches, "case_id", "raw_text", 2 << 20):
             rows: list[list] = [[], [], [], [], []]
-            for key, ids in zip(keys, encoder.encode(texts)):
+            for key, ids in zip(keys, encoder.encode(texts, remember)):
                 ids += close
                 for number, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at:at + 4 * capacity]
@@ -332,8 +334,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return numbered.mapInArrow(tidy(place), f"{shape}, sequence_id long, offset long")
 
 
-def pack_cases(cases: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack_cases(cases: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
+               remember: int = REMEMBERED) -> DataFrame:
     """Tokenize and place document analyses: case_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = tokenize_cases(cases, tokenizer_path, capacity, end_id)
+    pieces = tokenize_cases(cases, tokenizer_path, capacity, end_id, remember)
     pieces = materialize(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return pack_pieces(pieces, capacity)
