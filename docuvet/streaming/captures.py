@@ -12,22 +12,39 @@ GALLERY = "case_id bigint, embedding array<float>"
 HEADS = "chain_id bigint, head_hash string"
 
 
-def _committed(spark: SparkSession, root: str, schema: str, before: int) -> DataFrame:
-    """Rows written by earlier batches only: a replay sees what the first run saw."""
-    rows = spark.read.schema(f"{schema}, batch_id bigint").parquet(root)
-    return rows.where(F.col("batch_id") < before)
+#: Batches between two snapshots of a state table.
+SNAPSHOT_EVERY = 16
 
 
-def _prepare(spark: SparkSession, root: str, schema: str) -> None:
-    """An empty first partition, so that the state tables always exist."""
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{root}/batch_id=-1")
+def _state(spark: SparkSession, out: str, name: str, schema: str, key: str, value: str, batch_id: int) -> DataFrame:
+    """The newest ``value`` of each key before this batch: the last snapshot and the batches since.
+
+    Which folders are read follows from the batch id, so a replay sees what the first
+    run saw, and no batch reads more than one snapshot and ``SNAPSHOT_EVERY`` others.
+    """
+
+    def newest(snapshot: int, until: int) -> DataFrame:
+        rows = spark.createDataFrame([], f"{schema}, batch_id bigint")
+        if snapshot:
+            held = spark.read.schema(schema).parquet(f"{out}/{name}_snapshots/until={snapshot}")
+            rows = rows.unionByName(held.withColumn("batch_id", F.lit(-1).cast("long")))
+        if until > snapshot:
+            paths = [f"{out}/{name}/batch_id={i}" for i in range(snapshot, until)]
+            rows = rows.unionByName(
+                spark.read.schema(f"{schema}, batch_id bigint").option("basePath", f"{out}/{name}").parquet(*paths))
+        return rows.groupBy(key).agg(F.max_by(value, "batch_id").alias(value))
+
+    snapshot = batch_id // SNAPSHOT_EVERY * SNAPSHOT_EVERY
+    if snapshot and snapshot == batch_id:
+        newest(snapshot - SNAPSHOT_EVERY, snapshot).write.mode("overwrite").parquet(f"{out}/{name}_snapshots/until={snapshot}")
+    return newest(snapshot, batch_id)
 
 
 def stream_captures(captures: DataFrame, out: str, checkpoint: str, threshold: float, **trigger) -> StreamingQuery:
     """``captures``: seq, event_ts, case_id, chain_id, embedding, metadata.
 
-    State lives in three tables of ``out`` partitioned by batch id: gallery rows,
-    hits and sealed events with the new chain heads. Every write overwrites its
+    State lives in tables of ``out`` partitioned by batch id: gallery rows, hits, sealed
+    events and the new chain heads; snapshots fold the gallery and the heads now and then. Every write overwrites its
     own batch folder and reads only earlier ones, so replays are idempotent.
     """
 
@@ -38,13 +55,11 @@ def stream_captures(captures: DataFrame, out: str, checkpoint: str, threshold: f
         newest = batch.groupBy("case_id").agg(F.max_by("embedding", F.struct("event_ts", "seq")).alias("embedding"))
         put(newest, "gallery")
         fresh = spark.read.schema(GALLERY).parquet(f"{out}/gallery/batch_id={batch_id}")
-        older = _committed(spark, f"{out}/gallery", GALLERY, batch_id)
-        known = older.groupBy("case_id").agg(F.max_by("embedding", "batch_id").alias("embedding"))
+        known = _state(spark, out, "gallery", GALLERY, "case_id", "embedding", batch_id)
         # A case captured in this batch is represented by its new embedding only.
         known = known.join(fresh.select("case_id"), "case_id", "left_anti").unionByName(fresh)
         put(gallery_hits(fresh, known, threshold=threshold), "hits")
-        heads = _committed(spark, f"{out}/heads", HEADS, batch_id)
-        heads = heads.groupBy("chain_id").agg(F.max_by("head_hash", "batch_id").alias("head_hash"))
+        heads = _state(spark, out, "heads", HEADS, "chain_id", "head_hash", batch_id)
         events = batch.select(
             "seq", "event_ts", "case_id", "chain_id", F.lit("FACE_VERIFIED").alias("action"),
             F.lit("AI-ENGINE").alias("actor"), "metadata",
@@ -55,8 +70,6 @@ def stream_captures(captures: DataFrame, out: str, checkpoint: str, threshold: f
         put(tips, "heads")
         batch.unpersist()
 
-    _prepare(captures.sparkSession, f"{out}/gallery", GALLERY)
-    _prepare(captures.sparkSession, f"{out}/heads", HEADS)
     return (
         captures.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()

@@ -171,7 +171,9 @@ def test_replayed_batches_do_not_repeat_hits(spark, sf_dir):
     assert hits.count() == hits.select("case_id").distinct().count() == watchlist_screen(subjects, entries).count()
 
 
-def test_streamed_ledger_over_several_batches(spark, sf_dir):
+@pytest.mark.parametrize("every", [16, 2])
+def test_streamed_ledger_over_several_batches(spark, sf_dir, monkeypatch, every):
+    monkeypatch.setattr(capture_stream, "SNAPSHOT_EVERY", every)
     out = scratch_dir(spark, "captures")
     rows = fixtures.load(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("seq"), F.timestamp_seconds(F.col("vec_id") * 60).alias("event_ts"), F.col("vec_id").alias("case_id"),
