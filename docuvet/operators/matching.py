@@ -8,6 +8,7 @@ from ..functions import fixed
 from ..functions.dates import yymmdd
 from ..functions.phonetic import metaphone
 from ..functions.text import alnum_upper, blank_to_null, deletions, fuzzy_equal, within_one_edit
+from ..session import materialize
 from .ranking import numbered
 
 #: Versions of one identity that are numbered together.
@@ -189,31 +190,34 @@ def watchlist_screen(cases: DataFrame, entries: DataFrame, order: str = "entry_o
     Entries count in ``order``; inside one entry the number is tried before the
     name. Matching runs on distinct numbers and distinct names only: each distinct
     value keeps its first entry, however many cases share it, and the hit is
-    attached to the cases afterwards.
+    attached to the cases afterwards. Cleaned cases, entries and the distinct values are
+    written once: several joins read them.
     """
-    active = entries.where("active").select(
+    active = materialize(entries.where("active").select(
         order, "watchlist_id", "category", "severity",
         F.col("document_number").alias("entry_document"),
         alnum_upper(F.col("document_number")).alias("entry_number"),
         F.upper("name").alias("entry_name"), F.col("name").alias("listed_name"),
-    )
-    asked = cases.select(
+    ), "watchlist-entries")
+    asked = materialize(cases.select(
         "case_id",
         alnum_upper(F.coalesce("document_number", F.lit(""))).alias("query_number"),
         clean_query_name(F.col("full_name")).alias("query_name"),
-    )
+    ), "watchlist-asked")
+    numbers = materialize(asked.select(F.col("query_number").alias("number")).distinct(), "watchlist-numbers")
+    names = materialize(asked.select(F.col("query_name").alias("name")).distinct(), "watchlist-names")
     first_by_number = active.groupBy("entry_number").agg(F.min(order).alias("rank"))
     first_by_name = active.groupBy("entry_name").agg(F.min(order).alias("rank"))
     by_number = (
         number_match(first_by_number.withColumnRenamed("entry_number", "number"),
-                     asked.withColumnRenamed("query_number", "number"))
+                     numbers)
         .join(first_by_number, "entry_number")
         .groupBy("query_number")
         .agg(F.min("rank").alias("number_rank"))
     )
     by_name = (
         _name_candidates(first_by_name.withColumnRenamed("entry_name", "name"),
-                         asked.withColumnRenamed("query_name", "name"))
+                         names)
         .join(first_by_name, "entry_name")
         .groupBy("query_name")
         .agg(F.min_by(F.struct("rank", "e", "q"), "rank").alias("hit"))

@@ -72,7 +72,8 @@ from {supplier} join {part} on p_partkey = s_suppkey * 7
 TEXTS["fx_subjects"] = """
 select c_custkey as case_id,
  case c_custkey % 4 when 0 then upper(p_name) when 1 then replace(upper(p_name), 'I', '1')
-  when 2 then replace(upper(p_name), 'C', 'K') else 'MIDDLE ' || upper(p_name) end as full_name,
+  when 2 then replace(upper(p_name), 'C', 'K') else 'MIDDLE ' || upper(p_name) end
+  || ' ' || translate(cast(c_custkey as string), '0123456789', 'ABCDEFGHIJ') as full_name,
  case when c_custkey % 3 = 0 then 'X' || substring(lpad(cast(c_custkey as string), 7, '0'), 1, 3) || 'B'
    || substring(lpad(cast(c_custkey as string), 7, '0'), 5, 3)
   else 'X' || lpad(cast(c_custkey as string), 7, '0') end as document_number
