@@ -8,7 +8,8 @@ the next shorter context, which excludes all symbols already judged. Below the e
 context, bytes never seen share what is left evenly.
 
 With frozen counts each (context, symbol) pair has one probability, so the trie is
-flattened into a table that a stream of bytes indexes.
+flattened into a table that a stream of bytes indexes: contexts of up to three bytes
+through an array, longer ones through a hash table for each length.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import numpy as np
 
 END = 0xFF
 ORDER = 3
+#: Lengths of context that an array addresses.
+DENSE = 3
 #: Positions worked on at once.
 SLICE = 1 << 18
 
@@ -40,14 +43,64 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return codes, totals
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+@dataclass
+class Lookup:
+    """Numbers by code: open addressing in a table at most a quarter full."""
+
+    keys: np.ndarray
+    values: np.ndarray
+    shift: int
+
+    @classmethod
+    def of(cls, codes: np.ndarray, values: np.ndarray) -> Lookup:
+        bits = max(4, int(4 * len(codes) - 1).bit_length())
+        table = cls(np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32), 64 - bits)
+        left, spot = np.arange(len(codes)), table.home(codes)
+        while len(left):
+            free = table.keys[spot] < 0
+            _, first = np.unique(np.where(free, spot, -1 - np.arange(len(spot))), return_index=True)
+            won = np.zeros(len(left), bool)
+            won[first] = True
+            won &= free
+            table.keys[spot[won]], table.values[spot[won]] = codes[left[won]], values[left[won]]
+            left, spot = left[~won], (spot[~won] + 1) & (len(table.keys) - 1)
+        return table
+
+    def home(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * _ODD) >> np.uint64(self.shift)).astype(np.int64)
+
+    def find(self, codes: np.ndarray, default: np.ndarray) -> np.ndarray:
+        spot = self.home(codes)
+        held = self.keys[spot]
+        out = np.where(held == codes, self.values[spot], default)
+        left = np.flatnonzero((held != codes) & (held >= 0))
+        spot = spot[left]
+        while len(left):
+            spot = (spot + 1) & (len(self.keys) - 1)
+            held = self.keys[spot]
+            hit = held == codes[left]
+            out[left[hit]] = self.values[spot[hit]]
+            on = ~hit & (held >= 0)
+            left, spot = left[on], spot[on]
+        return out
+
+
 @dataclass
 class Frozen:
-    """``costs[context_of[c1 c2 c3] * symbols + symbol]``: code lengths in nats, one column per model."""
+    """``costs[context * symbols + symbol]``: code lengths in nats, one column per model.
+
+    ``context_of`` numbers contexts of up to ``DENSE`` symbols by their code, ``deep``
+    those of each greater length.
+    """
 
     classes: np.ndarray
     context_of: np.ndarray
     costs: np.ndarray
     order: int
+    deep: tuple[Lookup, ...] = ()
 
     @property
     def symbols(self) -> int:
@@ -90,7 +143,9 @@ def freeze(levels: list[tuple[np.ndarray, np.ndarray]], seen: np.ndarray, order:
     out = d if left else 0
     table = [np.where(held, total / max(1, n + out), out / (n + out) * escapes if n else escapes)]
     tally, names = total[None, :], np.zeros(1, np.int64)
-    context_of = np.zeros(width**order, np.int32)
+    dense = min(order, DENSE)
+    context_of = np.zeros(width**dense, np.int32)
+    deep = []
     offset = 1
     for length in range(1, order + 1):
         codes, counts = levels[length]
@@ -115,14 +170,18 @@ def freeze(levels: list[tuple[np.ndarray, np.ndarray]], seen: np.ndarray, order:
         escapes = np.where(held, 0.0, below)
         table.append(np.where(held, here / np.maximum(n + d, 1), d / np.maximum(n + d, 1) * escapes))
         tally, names = here, found
-        context_of.reshape(-1, width**length)[:, found] = offset + np.arange(len(found), dtype=np.int32)
+        numbers = offset + np.arange(len(found), dtype=np.int32)
+        if length <= dense:
+            context_of.reshape(-1, width**length)[:, found] = numbers
+        else:
+            deep.append(Lookup.of(found, numbers))
         offset += len(found)
     costs = -np.log(np.maximum(np.concatenate([t.reshape(-1, width) for t in table]), 1e-300))
-    return Frozen(classes, context_of, costs.astype(np.float32).reshape(-1, 1), order)
+    return Frozen(classes, context_of, costs.astype(np.float32).reshape(-1, 1), order, tuple(deep))
 
 
 def combined(models: list[Frozen]) -> Frozen:
-    """Several models of the same symbols as one table with a column each."""
+    """Several models of the same symbols, and of at most ``DENSE`` order, as one table with a column each."""
     width = models[0].symbols
     joint = np.zeros(len(models[0].context_of), np.int64)
     firsts = np.zeros(1, np.int64)
@@ -139,15 +198,20 @@ def code_lengths(model: Frozen, texts: list[bytes]) -> np.ndarray:
     if not texts:
         return np.zeros((0, model.costs.shape[1]))
     data, starts, sizes = stream(texts, model.order)
-    symbols, width, order = model.classes.astype(np.int32)[data], model.symbols, model.order
+    symbols, width, order = model.classes[data], model.symbols, model.order
     ends = starts + sizes
     out = np.zeros((len(texts), model.costs.shape[1]))
     for at in range(order, len(data), SLICE):
         stop = min(at + SLICE, len(data))
-        context = symbols[at - order:stop - order]
-        for back in range(order - 1, 0, -1):
-            context = context * width + symbols[at - back:stop - back]
-        index = model.context_of[context] * width + symbols[at:stop]
+        dense = min(order, DENSE)
+        code = symbols[at - dense:stop - dense].astype(np.int64)
+        for back in range(dense - 1, 0, -1):
+            code = code * width + symbols[at - back:stop - back]
+        context = model.context_of[code]
+        for length, table in enumerate(model.deep, dense + 1):
+            code += symbols[at - length:stop - length] * width ** (length - 1)
+            context = table.find(code, context)
+        index = context.astype(np.int64) * width + symbols[at:stop]
         first = int(np.searchsorted(ends, at, side="right"))
         last = int(np.searchsorted(starts, stop, side="left"))
         if first >= last:
@@ -167,9 +231,10 @@ def gram_counts(chunks: Iterator[list[bytes]], order: int = ORDER) -> tuple[np.n
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     for texts in chunks:
         data, starts, sizes = stream(texts, order)
-        code = np.zeros(len(data) - order, np.uint32)
+        word = np.uint32 if order <= 3 else np.uint64
+        code = np.zeros(len(data) - order, word)
         for back in range(order, -1, -1):
-            code = (code << np.uint32(8)) | data[order - back:len(data) - back]
+            code = (code << word(8)) | data[order - back:len(data) - back]
         # Symbols are the bytes of a text and the first END behind it.
         coded = np.ones(len(code), bool)
         for pad in range(1, order):

@@ -17,12 +17,19 @@ from .support import shuffle_partitions, text_rows, tidy
 
 #: Text bytes whose tokens share one dictionary.
 BATCH_BYTES = 8 << 20
+#: Bytes of context.
+ORDER = 5
 #: Contexts of each length that the trie keeps, the most frequent first; bounds the model.
 MAX_CONTEXTS = 1 << 15
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+def _plain(text: bytes) -> bytes:
+    """The words in lower case (A-Z), one space between them: what both models are about."""
+    return b" ".join(_WORDS.findall(text.lower()))
+
+
 def _pack(values: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
 
@@ -31,15 +38,15 @@ def _unpack(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
-def train(cases: DataFrame, order: int = ppm.ORDER, max_contexts: int = MAX_CONTEXTS) -> ppm.Frozen:
-    """The frozen byte model of the texts marked ``trains``, lower-cased.
+def train(cases: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> ppm.Frozen:
+    """The frozen byte model of the words of the texts marked ``trains``.
 
     Every byte of every training text is counted. Of each context length, counts reach
     the driver for at most ``max_contexts`` contexts of at most 256 symbols each.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = ([t.lower() for t in texts] for _, texts in text_rows(batches, "case_id", "raw_text"))
+        chunks = ([_plain(t) for t in texts] for _, texts in text_rows(batches, "case_id", "raw_text"))
         codes, counts = ppm.gram_counts(chunks, order)
         for at in range(0, len(codes), 1 << 16):
             yield pa.RecordBatch.from_arrays(
@@ -106,10 +113,10 @@ def _read(model: ppm.Frozen, batches: Iterator[pa.RecordBatch], buckets: int) ->
         return pa.RecordBatch.from_pylist([row], schema=_BATCH)
 
     for rows, texts in text_rows(batches, "row", "raw_text"):
-        texts = [t.lower() for t in texts]
+        texts = [_plain(t) for t in texts]
         scores += (ppm.code_lengths(model, texts)[:, 0] / -np.log(10.0)).tolist()
         for row, text in zip(rows, texts):
-            words = _WORDS.findall(text)
+            words = text.split(b" ") if text else []
             tokens += map(places.__getitem__, words)
             sizes.append(len(words))
             keys.append(row["case_id"])
@@ -175,11 +182,13 @@ def _total(table: pa.Table) -> pa.Table:
     })
 
 
-def score_cases(cases: DataFrame, order: int = ppm.ORDER) -> DataFrame:
+def score_cases(cases: DataFrame, order: int = ORDER) -> DataFrame:
     """Log probability of each text under a byte model of the training texts, and under a word unigram.
 
     ``cases``: case_id, raw_text, trains (whether the model may learn from the row; null:
-    no); other columns are ignored. A null text is empty. Texts are lower-cased (A-Z).
+    no); other columns are ignored. A null text is empty. Both models score the words,
+    lower-cased (A-Z) and cut at ASCII white space, and the end; the byte model sees one
+    space between words.
     The byte model is prediction by partial matching with escape method C and symbol
     exclusion, its counts frozen after all training texts. The base counts words cut at
     ASCII white space and one end per text, with one added to each count. Output, one

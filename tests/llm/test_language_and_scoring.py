@@ -38,7 +38,7 @@ def nats(train, order, texts):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4, 5])
 def test_frozen_tables_give_exact_code_lengths(order):
     rng = random.Random(order)
     train = [bytes(rng.choice(b"abcde ") for _ in range(rng.randint(0, 60))) for _ in range(30)] + [b""]
@@ -69,6 +69,15 @@ def labelled():
     return [(i, " ".join(rng.choice(WORDS[l]) for _ in range(30)), l) for i, l in enumerate(["en", "de"] * 60)]
 
 
+def test_lookup_finds_every_code_and_no_other():
+    rng = np.random.default_rng(4)
+    codes = np.unique(rng.integers(0, 1 << 40, 5000))
+    table = ppm.Lookup.of(codes, np.arange(len(codes), dtype=np.int32))
+    asked = np.concatenate([codes, codes + 1, rng.integers(0, 1 << 40, 5000)])
+    want = {c: i for i, c in enumerate(codes.tolist())}
+    assert table.find(asked, np.full(len(asked), -7)).tolist() == [want.get(c, -7) for c in asked.tolist()]
+
+
 def test_languages_of_unseen_texts_and_undetermined_ones(cases, labelled):
     asked = [(1, "the holder of this page", "x"), (2, "seite des inhabers", "x"), (3, None, "x"), (4, "12 34 ..", "x"), (5, "", "x"),
              (None, "the name is given", "x"), (1, "the holder of this page", "x")]
@@ -110,7 +119,8 @@ def test_scores_match_brute_force(cases, monkeypatch):
             count.update(w)
             ends += 1
     n, v = sum(count.values()) + ends, len(count) + 1
-    lengths = nats([t.encode() for t, r in zip(low, rows) if r[2]], 3, [t.encode() for t in low])
+    plain = [" ".join(w).encode() for w in words]
+    lengths = nats([t for t, r in zip(plain, rows) if r[2]], scoring.ORDER, plain)
     want = sorted((len(w) + 1, sum(count[x] > 0 for x in w) + 1, n,
                    sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1)),
                    -s / math.log(10)) for w, s in zip(words, lengths))
