@@ -16,7 +16,7 @@ from .support import mix, ragged, shuffle_partitions, text_rows, tidy
 WINDOW = 100
 GRAM = 24
 #: Text bytes whose repeats are collapsed before anything is exchanged.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Bytes of one suffix array.
 SHARD_BYTES = 4 << 20
 #: Texts looked at to find anchors with very many surroundings. Steers only where work is done.
@@ -25,7 +25,7 @@ SAMPLE_TEXTS = 4_000
 FREQUENT = 1 / 200
 LEAST = 16
 #: Positions handled at once; their numbers fit the low bits of a minimum's key.
-POSITIONS = 1 << 18
+POSITIONS = 1 << 17
 
 _NO_ID = np.iinfo(np.int64).max
 
