@@ -51,12 +51,22 @@ def test_token_methods(spark):
 
 def test_metaphone_vectors(spark):
     words = {"KNIGHT": "NT", "NITE": "NT", "KATHERINE": "K0RN", "SEAN": "SN", "SHAWN": "XN", "WHITE": "WT", "BRIDGE": "BRJ",
-             "PHILIP": "FLP", "XAVIER": "SFR", "MATCH": "MX", "NATION": "NXN", "LAMB": "LM", "SCIENCE": "SNS", "": ""}
+             "THUMB": "0M", "METAPHONE": "MTFN", "KNIFE": "NF", "GNOME": "NM", "PHILIP": "FLP", "XAVIER": "SFR", "MATCH": "MX", "NATION": "NXN", "LAMB": "LM", "SCIENCE": "SNS", "": ""}
     df = spark.createDataFrame(list(words.items()), "w string, code string")
     for r in df.select("w", "code", metaphone(F.col("w")).alias("got")).collect():
         assert r.got == r.code, r
 
 
+def test_each_phonetic_method_tells_its_own_pairs_apart(spark):
+    # pairs that only one of the two codes joins, and pairs that both or none join
+    pairs = [("SEAN", "SHAWN", True, False), ("KNIGHT", "NITE", False, True), ("ROBERT", "RUPERT", True, False),
+             ("PHILIP", "FILIP", False, True), ("SMITH", "SMYTH", True, True), ("JOHN", "MARCUS", False, False)]
+    df = spark.createDataFrame(pairs, "a string, b string, soundex boolean, metaphone boolean")
+    same = df.withColumns({"s": F.soundex("a") == F.soundex("b"), "m": metaphone(F.col("a")) == metaphone(F.col("b"))})
+    for r in same.collect():
+        assert (r.s, r.m) == (r.soundex, r.metaphone), r
+
+
 def test_one_name_shared_by_most_cases(spark):
     cases = [(i, "VIKTOR KOROL" if i % 3 else f"PERSON {i}", None) for i in range(600)]
     assert len(screen(spark, cases)) == 400
