@@ -261,9 +261,9 @@ def _(predictions, documents):
 
 
 # One digest per draw: its first 15 digits place x, the next 15 y.
-_AT = lambda axis, draw, i: f"cast('0x' || substring(md5('42|' || image || '|{draw}|' || {i}), {1 if axis == 'x' else 16}, 15) as bigint)"
-_AXIS = lambda axis, draw, i, span: f"{_AT(axis, draw, i)} % (greatest(1, {span} - 1) + 1)"
-_TRY = lambda axis, draw, i, size: f"{_AT(axis, draw, i)} % {size}"
+_DIGITS = lambda axis, draw, i: f"cast('0x' || substring(md5('42|' || image || '|{draw}|' || {i}), {1 if axis == 'x' else 16}, 15) as bigint)"
+_AXIS = lambda axis, draw, i, span: f"{_DIGITS(axis, draw, i)} % (greatest(1, {span} - 1) + 1)"
+_TRY = lambda axis, draw, i, size: f"{_DIGITS(axis, draw, i)} % {size}"
 _CORNER = lambda at, size: f"greatest(0, least({size} - 64, {at} - 32))"
 
 
