@@ -50,9 +50,26 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+_STAGED: list[str] = []
+
+
 def materialize(df, purpose: str):
-    """Write ``df`` once to the shared folder and read it back (cuts lineage)."""
+    """Write ``df`` once to the shared folder and read it back (cuts lineage).
+
+    The copy stays until :func:`clear_staged`, as results may still read it.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
+    _STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete the staged copies of this process; call it once the results that read them are written."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _STAGED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        done += path.getFileSystem(conf).delete(path, True)
+    return done

@@ -90,6 +90,15 @@ def test_a_gallery_match_names_the_other_case(spark):
     assert labels[1].endswith("CS-2") and labels[3] == "Cross-Case Duplicate Identity Screening"
 
 
+def test_staged_copies_can_be_cleared(spark, monkeypatch):
+    from docuvet import session
+
+    monkeypatch.setattr(session, "_STAGED", [])
+    held = session.materialize(spark.range(10), "passing")
+    assert held.count() == 10 and len(session._STAGED) == 1
+    assert session.clear_staged(spark) == 1 and session.clear_staged(spark) == 0
+
+
 def test_embeddings_of_unequal_length_are_named(spark):
     faces = spark.createDataFrame([(1, [1.0, 0.0]), (7, [1.0, 0.0, 0.0, 0.0])], "case_id long, embedding array<float>").coalesce(1)
     with pytest.raises(Exception, match="differ in length|reshape"):
