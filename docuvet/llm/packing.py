@@ -24,7 +24,7 @@ SMALL = 1 / 16
 STEP = 0.3
 ROUNDS = 3_000
 #: Distinct words whose ids a worker remembers at once.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 #: Stops between an ASCII letter and white space: tokens of their own.
 _STOPS = re.compile(rb"(?<=[A-Za-z])([.,]+)(?=[ \n]|$)")
