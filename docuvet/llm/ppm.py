@@ -141,7 +141,10 @@ def freeze(levels: list[tuple[np.ndarray, np.ndarray]], seen: np.ndarray, order:
     # escapes[c, s]: how the contexts shorter than c share what c leaves to symbols it has not seen
     escapes = np.where(held, 0.0, 1.0 / max(1, left))[None, :]
     out = d if left else 0
-    table = [np.where(held, total / max(1, n + out), out / (n + out) * escapes if n else escapes)]
+    def cost(probability: np.ndarray) -> np.ndarray:
+        return -np.log(np.maximum(probability, 1e-300)).astype(np.float32).reshape(-1, width)
+
+    table = [cost(np.where(held, total / max(1, n + out), out / (n + out) * escapes if n else escapes))]
     tally, names = total[None, :], np.zeros(1, np.int64)
     dense = min(order, DENSE)
     context_of = np.zeros(width**dense, np.int32)
@@ -166,9 +169,13 @@ def freeze(levels: list[tuple[np.ndarray, np.ndarray]], seen: np.ndarray, order:
         n2 = rest.sum(axis=1, keepdims=True)
         d2 = (rest > 0).sum(axis=1, keepdims=True)
         share = np.divide(d2, n2 + d2, out=np.ones_like(n2), where=n2 > 0)
-        below = np.where(rest > 0, rest / np.maximum(n2 + d2, 1), share * escapes[parent])
-        escapes = np.where(held, 0.0, below)
-        table.append(np.where(held, here / np.maximum(n + d, 1), d / np.maximum(n + d, 1) * escapes))
+        shorter = escapes[parent]
+        shorter *= share
+        np.divide(rest, np.maximum(n2 + d2, 1), out=shorter, where=rest > 0)
+        shorter[held] = 0.0
+        escapes = shorter
+        del rest
+        table.append(cost(np.where(held, here / np.maximum(n + d, 1), d / np.maximum(n + d, 1) * escapes)))
         tally, names = here, found
         numbers = offset + np.arange(len(found), dtype=np.int32)
         if length <= dense:
@@ -176,8 +183,7 @@ def freeze(levels: list[tuple[np.ndarray, np.ndarray]], seen: np.ndarray, order:
         else:
             deep.append(Lookup.of(found, numbers))
         offset += len(found)
-    costs = -np.log(np.maximum(np.concatenate([t.reshape(-1, width) for t in table]), 1e-300))
-    return Frozen(classes, context_of, costs.astype(np.float32).reshape(-1, 1), order, tuple(deep))
+    return Frozen(classes, context_of, np.concatenate(table).reshape(-1, 1), order, tuple(deep))
 
 
 def combined(models: list[Frozen]) -> Frozen:

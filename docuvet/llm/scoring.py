@@ -20,7 +20,7 @@ BATCH_BYTES = 8 << 20
 #: Bytes of context.
 ORDER = 5
 #: Contexts of each length that the trie keeps, the most frequent first; bounds the model.
-MAX_CONTEXTS = 1 << 15
+MAX_CONTEXTS = 1 << 14
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -69,11 +69,14 @@ def train(cases: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS
     stacked = levels[0]
     for level in levels[1:]:
         stacked = stacked.unionByName(level)
-    got = stacked.toPandas().sort_values(["length", "code"])
-    by_length = [
-        (g["code"].to_numpy(np.int64), g["n"].to_numpy(np.float64))
-        for g in (got[got["length"] == length] for length in range(order + 1))
-    ]
+    got = stacked.toArrow()
+    lengths, codes, counts = (got.column(c).to_numpy() for c in ("length", "code", "n"))
+    by_length = []
+    for length in range(order + 1):
+        own = np.flatnonzero(lengths == length)
+        own = own[np.argsort(codes[own])]
+        by_length.append((codes[own], counts[own].astype(np.float64)))
+    del got, lengths, codes, counts
     seen = np.unique(np.append(by_length[0][0], ppm.END))
     return ppm.freeze(by_length, seen, order)
 
