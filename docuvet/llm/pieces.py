@@ -19,7 +19,7 @@ MARK = "▁"
 LONG = 48
 CHUNK_BYTES = 2 << 20
 #: Distinct units whose ids a worker remembers at once.
-REMEMBERED = 150_000
+REMEMBERED = 350_000
 
 _SEPARATOR = 0xFF
 
