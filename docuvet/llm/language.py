@@ -14,7 +14,8 @@ from .support import text_rows, tidy
 UNDETERMINED = "und"
 #: Expected number of training texts taken of each language, chosen by a hash of their key.
 SAMPLE_TEXTS = 2_000
-MAX_CONTEXTS = 4_096
+#: Contexts of each length that a language keeps, the most frequent first.
+MAX_CONTEXTS = 8_192
 
 
 def learn(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, order: int = ppm.ORDER, max_contexts: int = MAX_CONTEXTS):

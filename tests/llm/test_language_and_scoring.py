@@ -135,3 +135,9 @@ def test_scores_without_training_texts_and_without_rows(cases):
     got = scoring.score_cases(cases([(1, "ab", False, "x")], schema)).first()
     assert got.train_tokens == 0 and got.n_known == 0 and got.score == pytest.approx(-3 * math.log10(256), rel=1e-5)
     assert scoring.score_cases(cases([], schema)).count() == 0
+
+
+def test_language_models_keep_eight_thousand_contexts_a_length():
+    codes = (np.arange(1 << 13) << 8) | 97
+    levels = ppm.levels_of(codes, np.ones(len(codes)), 3, language.MAX_CONTEXTS)
+    assert len(levels[3][0]) == 1 << 13
