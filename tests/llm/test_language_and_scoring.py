@@ -141,3 +141,13 @@ def test_language_models_keep_eight_thousand_contexts_a_length():
     codes = (np.arange(1 << 13) << 8) | 97
     levels = ppm.levels_of(codes, np.ones(len(codes)), 3, language.MAX_CONTEXTS)
     assert len(levels[3][0]) == 1 << 13
+
+
+def test_scores_use_every_context_of_the_training_texts(cases):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefghijklmnop") for _ in range(2000)) for _ in range(12)]
+    asked = texts[0][:300]
+    rows = [*((i, t, True) for i, t in enumerate(texts)), (99, asked, False)]
+    got = scoring.score_cases(cases(rows, "case_id long, raw_text string, trains boolean")).where("case_id = 99").first()
+    (want,) = nats([t.encode() for t in texts], scoring.ORDER, [asked.encode()])
+    assert got.score == pytest.approx(-want / math.log(10), rel=1e-5)
