@@ -53,15 +53,15 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
 _STAGED: list[str] = []
 
 
-def materialize(df, purpose: str):
-    """Write ``df`` once to the shared folder and read it back (cuts lineage).
+def materialize(df, purpose: str, folders: list[str] | None = None):
+    """Write ``df`` once to the shared folder, in a folder for each value of ``folders``, and read it back (cuts lineage).
 
     The copy stays until :func:`clear_staged`, as results may still read it.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
     _STAGED.append(path)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders or []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
