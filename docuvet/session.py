@@ -65,6 +65,19 @@ def materialize(df, purpose: str, folders: list[str] | None = None):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df) -> None:
+    """Delete the staged copy that ``df`` reads, once nothing will read it any more."""
+    spark = df.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for file in df.inputFiles():
+        folder = next((p for p in _STAGED if f"{p.split(':', 1)[-1].lstrip('/')}/" in file), None)
+        if folder:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+            _STAGED.remove(folder)
+            return
+
+
 def clear_staged(spark: SparkSession) -> int:
     """Delete the staged copies of this process; call it once the results that read them are written."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
