@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .support import mix, tidy
 
 UNKNOWN_LANGUAGE = "und"
@@ -68,7 +68,12 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slots(hashes: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    return (hashes % np.uint64(slots)).astype(np.int64), (mix(hashes, 7) % np.uint64(slots)).astype(np.int64)
+    low = np.uint64(slots - 1)
+    return (hashes & low).astype(np.int64), ((hashes >> np.uint64(32)) & low).astype(np.int64)
+
+
+def _slot_columns(slots: int):
+    return F.array(*[part.bitwiseAND(F.lit(slots - 1)) for part in (F.col("hash"), F.shiftrightunsigned("hash", 32))])
 
 
 def _runs(ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,38 +95,47 @@ def _runs(ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, length: int) -> t
     return order[first], np.diff(np.append(first, len(order)))
 
 
-def count_batch(ids: np.ndarray, each: np.ndarray, ages: np.ndarray, step: int, shards: int, longest: int):
-    """Phrases whose cycle includes ``step``: per length their places, numbers, first step and hashes.
+def _levels(ids: np.ndarray, each: np.ndarray, ages: np.ndarray, longest: int, step: int):
+    """Per length: places of phrases whose parts are in ``ages`` by ``step``, their first step, and hashes by place.
 
-    ``each``: a hash of every word with its language. ``ages`` holds at a phrase's two slots the step at which it reached the threshold.
-    Slots never change once set, so every task and step derives the same cycle for a
-    phrase; a shared slot only lets a phrase start its (complete) cycle earlier.
+    ``each``: a hash of every word with its language. ``ages`` holds at a phrase's two
+    slots the step at which it reached the threshold. Slots never change once set, so
+    every task and step derives the same cycle for a phrase; a shared slot only lets a
+    phrase start its (complete) cycle earlier.
     """
     inside = np.append(ids >= 0, np.zeros(longest, bool))
-    hashes = np.zeros(len(ids), np.uint64)
-    hashes[ids >= 0] = each[ids[ids >= 0]]
-    word_hashes = hashes
-    age = np.full(len(ids) + 1, _NEVER, np.int64)
     alive = np.flatnonzero(ids >= 0)
-    begun = np.zeros(len(alive), np.int64)
+    words = np.zeros(len(ids), np.uint64)
+    words[alive] = each[ids[alive]]
+    hashes, begun = words, np.zeros(len(alive), np.int64)
     for length in range(1, longest + 1):
         if length > 1:
             begun = np.maximum(age[alive], age[alive + 1]) + 1
-            keep = inside[alive + length - 1] & (begun <= _NEVER - 1) & (begun <= step)
+            keep = inside[alive + length - 1] & (begun <= step)
             alive, begun = alive[keep], begun[keep]
             rolled = np.zeros(len(ids), np.uint64)
-            rolled[alive] = mix(hashes[alive] * np.uint64(0x9E3779B97F4A7C15) + word_hashes[alive + length - 1], length)
+            rolled[alive] = mix(hashes[alive] * np.uint64(0x9E3779B97F4A7C15) + words[alive + length - 1], length)
             hashes = rolled
         if not len(alive):
             return
-        counted = begun + shards > step
-        first, numbers = _runs(ids, hashes, alive[counted], length)
-        yield length, first, numbers, np.maximum(age[first], age[first + 1]) + 1 if length > 1 else np.zeros(len(first), np.int64), hashes[first]
+        yield length, alive, begun, hashes
         one, two = _slots(hashes[alive], len(ages))
         age = np.full(len(ids) + 1, _NEVER, np.int64)
         age[alive] = np.maximum(ages[one], ages[two])
 
 
+def count_batch(ids: np.ndarray, each: np.ndarray, ages: np.ndarray, step: int, shards: int, longest: int):
+    """Hashes, numbers and cycles of the phrases whose cycle includes ``step``; a cycle is first step * 8 + length."""
+    for length, alive, begun, hashes in _levels(ids, each, ages, longest, step):
+        if length == 1:
+            if step < shards:
+                yield each, np.bincount(ids[alive], minlength=len(each)), np.ones(len(each), np.int64)
+            continue
+        counted = begun + shards > step
+        found, first, numbers = np.unique(hashes[alive[counted]], return_index=True, return_counts=True)
+        yield found, numbers, begun[counted][first] * 8 + length
+
+
 def count_phrases(cases: DataFrame, threshold: int = 100, longest: int = 5, shards: int = SHARDS, slots: int = SLOTS):
     """Exact numbers of all phrases of up to ``longest`` words that occur ``threshold`` times or more in a language.
 
@@ -130,20 +144,25 @@ def count_phrases(cases: DataFrame, threshold: int = 100, longest: int = 5, shar
     ``shards`` shards by a hash. Scans visit one shard after another, over and over. All
     words are counted from the first scan on; a longer phrase from the scan after both
     its parts of one word less have reached the threshold, each for exactly one cycle.
-    Counting ends when nothing has reached the threshold for a cycle. Counts stay in
-    Spark, grouped where they are made before they are shuffled; every scan's state is
-    written to the shared folder. The only thing that passes through the driver is a
-    table of ``slots`` bytes.
+    Counting ends when nothing has reached the threshold for a cycle.
+
+    Scans count hashes of phrases, and hashes that share a value can only count too
+    much. What they find frequent is then counted by its words in one last scan, whose
+    numbers are the result. Counts stay in Spark, grouped where they are made before they
+    are shuffled; each scan's state is written to the shared folder and replaces the one
+    before. What passes through the driver is a table of ``slots`` bytes (a power of two).
     """
     language = F.coalesce(F.col("language").cast("string"), F.lit(UNKNOWN_LANGUAGE))
     dealt = cases.select(
         F.pmod(F.xxhash64("case_id", "raw_text"), F.lit(shards)).cast("int").alias("shard"), language.alias("language"),
         F.coalesce(F.col("raw_text").cast("string"), F.lit("")).alias("raw_text"))
     packed = materialize(
-        dealt.mapInArrow(tidy(_pack), "shard int, ids binary, hashes binary, languages array<string>, words array<string>"), "shards", ["shard"])
+        dealt.mapInArrow(tidy(_pack), "shard int, ids binary, hashes binary, languages array<string>, words array<string>"),
+        "shards", ["shard"])
     spark = cases.sparkSession
     ages = np.full(slots, _NEVER, np.uint8)
-    state, found, totals = None, [], None
+    begun = F.floor(F.col("cycle") / 8)
+    state, found = None, []
     step, last = 0, -1
     while step <= last + shards:
         if step >= _NEVER - shards:
@@ -156,49 +175,73 @@ def count_phrases(cases: DataFrame, threshold: int = 100, longest: int = 5, shar
                 for row in range(batch.num_rows):
                     ids = np.frombuffer(batch.column("ids")[row].as_py(), np.int32)
                     each = np.frombuffer(batch.column("hashes")[row].as_py(), np.uint64)
-                    languages, words = None, None
-                    for length, first, numbers, begun, hashes in count_batch(ids, each, table, step, shards, longest):
-                        if words is None and len(first):
-                            languages, words = (batch.column(c)[row].as_py() for c in ("languages", "words"))
-                        one, two = _slots(hashes, slots)
-                        for lo in range(0, len(first), 50_000):
-                            part = slice(lo, lo + 50_000)
-                            spelled = ids[first[part][:, None] + np.arange(length)].tolist()
-                            yield pa.RecordBatch.from_arrays([
-                                pa.array([languages[x[0]] for x in spelled], pa.string()),
-                                pa.array([" ".join([words[i] for i in x]) for x in spelled], pa.string()),
-                                pa.array(np.full(len(spelled), length, np.int32)), pa.array(begun[part].astype(np.int32)),
-                                pa.array(one[part].astype(np.int32)), pa.array(two[part].astype(np.int32)),
-                                pa.array(numbers[part].astype(np.int64)),
-                            ], ["language", "phrase", "length", "begun", "slot_1", "slot_2", "occurrences"])
-
-        counted = packed.where(F.col("shard") == step % shards).mapInArrow(
-            tidy(scan), "language string, phrase string, length int, begun int, slot_1 int, slot_2 int, occurrences long")
-        going = counted.withColumn("reached", F.lit(None).cast("int"))
+                    for hashes, numbers, cycle in count_batch(ids, each, table, step, shards, longest):
+                        for lo in range(0, len(hashes), 100_000):
+                            part = slice(lo, lo + 100_000)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(hashes[part].view(np.int64)), pa.array(cycle[part].astype(np.int32)), pa.array(numbers[part])],
+                                ["hash", "cycle", "fresh"])
+
+        going = packed.where(F.col("shard") == step % shards).select("ids", "hashes").mapInArrow(
+            tidy(scan), "hash long, cycle int, fresh long").withColumn("before", F.lit(0).cast("long"))
         if state is not None:
-            going = going.unionByName(state.where(F.col("begun") + shards > step))
-        same = ["length", "begun", "slot_1", "slot_2", "reached"]
-        merged = going.groupBy("language", "phrase").agg(
-            *[F.max(c).alias(c) for c in same], F.sum("occurrences").alias("occurrences"))
-        merged = merged.withColumn(
-            "reached", F.coalesce("reached", F.when(F.col("occurrences") >= threshold, F.lit(step))))
-        state = materialize(merged, "phrases")
+            going = going.unionByName(state.where(begun + shards > step).select(
+                "hash", "cycle", F.lit(0).cast("long").alias("fresh"), F.col("occurrences").alias("before")))
+        sums = going.groupBy("hash").agg(F.max("cycle").alias("cycle"), F.sum("fresh").alias("fresh"), F.sum("before").alias("before"))
+        occurrences = F.col("fresh") + F.col("before")
+        previous, state = state, materialize(sums.select(
+            "hash", "cycle", occurrences.alias("occurrences"),
+            ((F.col("before") < threshold) & (occurrences >= threshold)).alias("reached")), "phrases")
         shipped.destroy()
+        if previous is not None:
+            discard(previous)
         # bounded by the slots: at most one number for each
-        fresh = state.where((F.col("reached") == step) & (F.col("length") < longest))
-        changed = fresh.select(F.explode(F.array("slot_1", "slot_2")).alias("slot")).distinct().toPandas()["slot"].to_numpy()
+        reached = state.where(F.col("reached") & (F.col("cycle") % 8 < longest))
+        changed = reached.select(F.explode(_slot_columns(slots)).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)
         changed = changed[ages[changed] == _NEVER]
         if len(changed):
             ages[changed] = step
             last = step
-        found.append(state.where((F.col("begun") + shards - 1 == step) & (F.col("occurrences") >= threshold)))
-        if step == shards - 1:
-            totals = state.where("length = 1").groupBy("language").agg(F.sum("occurrences").alias("n_words"))
+        found.append(materialize(
+            state.where((begun + shards - 1 == step) & (F.col("occurrences") >= threshold)).select("hash"), "frequent"))
         step += 1
-    whole = found[0]
+    frequent = found[0]
     for part in found[1:]:
-        whole = whole.unionByName(part)
-    return whole.select("language", "phrase", "length", "occurrences"), totals
+        frequent = frequent.unionByName(part)
+    kept = np.full(slots, _NEVER, np.uint8)
+    kept[frequent.select(F.explode(_slot_columns(slots)).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)] = 0
+    shipped = spark.sparkContext.broadcast(kept.tobytes())
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(shipped.value, np.uint8)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids = np.frombuffer(batch.column("ids")[row].as_py(), np.int32)
+                each = np.frombuffer(batch.column("hashes")[row].as_py(), np.uint64)
+                languages, words = (batch.column(c)[row].as_py() for c in ("languages", "words"))
+                own, place = np.unique(np.array(languages, object), return_inverse=True)
+                sums = np.bincount(place[ids[ids >= 0]], minlength=len(own)) if len(words) else []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own, pa.string()), pa.array([None] * len(own), pa.string()), pa.array([0] * len(own), pa.int32()),
+                     pa.array(sums, pa.int64())], ["language", "phrase", "length", "occurrences"])
+                for length, alive, _, hashes in _levels(ids, each, table, longest, 1):
+                    one, two = _slots(hashes[alive], slots)
+                    first, numbers = _runs(ids, hashes, alive[(table[one] == 0) & (table[two] == 0)], length)
+                    spelled = ids[first[:, None] + np.arange(length)].tolist()
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([languages[x[0]] for x in spelled], pa.string()),
+                        pa.array([" ".join([words[i] for i in x]) for x in spelled], pa.string()),
+                        pa.array(np.full(len(spelled), length, np.int32)), pa.array(numbers.astype(np.int64)),
+                    ], ["language", "phrase", "length", "occurrences"])
+
+    named = materialize(
+        packed.mapInArrow(tidy(name), "language string, phrase string, length int, occurrences long")
+        .groupBy("language", "phrase", "length").agg(F.sum("occurrences").alias("occurrences")).where(
+            (F.col("length") == 0) | (F.col("occurrences") >= threshold)), "candidates")
+    shipped.destroy()
+    for used in (state, packed, *found):
+        discard(used)
+    return named.where("length > 0"), named.where("length = 0").select("language", F.col("occurrences").alias("n_words"))
 
 
 def _joined(words, start, length):
@@ -225,8 +268,7 @@ def collocations(
     empty, a null language is ``und``, repeated rows count again, an empty table gives an
     empty result. Products are decimals of 38 digits.
     """
-    counted, totals = count_phrases(cases, threshold, longest, shards, slots)
-    known = materialize(counted, "candidates")
+    known, totals = count_phrases(cases, threshold, longest, shards, slots)
     words = F.split("phrase", " ")
     many = known.where("length > 1")
     cuts = many.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("length") - 1))).withColumns({
