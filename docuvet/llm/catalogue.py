@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import collocations, language, lookalikes, nearest, packing, passages, pieces, repeats, repetition, scoring, sharding, simhash
+from . import alignment, collocations, language, lookalikes, nearest, packing, passages, pieces, repeats, repetition, scoring, sharding, simhash
 from .support import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,11 +192,17 @@ from ranked where rank <= 2000
 """
 
 
+def op13_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align_cases(
+        _documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("case_id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_rendezvous_shards, op2_suffix_array_dedup, op3_adaptive_scan, op4_language_id, op5_covering_simhash,
         op6_configuration_packing, op7_compact_windows, op8_projection_collisions, op9_partial_matching_score,
-        op10_suffix_array_pieces, op11_repetition_coverage, op12_dynamic_collocations,
+        op10_suffix_array_pieces, op11_repetition_coverage, op12_dynamic_collocations, op13_fragment_alignment,
     )
 }
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterator
+import sys
+import types
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +58,14 @@ def tidy(work: Callable) -> Callable:
     return lambda data: one(data) if isinstance(data, pa.Table) else stream(data)
 
 
+def kept_in_process(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once per worker process: tasks that a worker runs one after another share it."""
+    kept = sys.modules.setdefault("docuvet_kept", types.ModuleType("docuvet_kept")).__dict__.setdefault("values", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def remainder(key: Column, divisor: int) -> Column:
     """crc32 of a key written as text, modulo ``divisor``; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % divisor
