@@ -110,7 +110,8 @@ def _levels(ids: np.ndarray, each: np.ndarray, ages: np.ndarray, longest: int, s
     hashes, begun = words, np.zeros(len(alive), np.int64)
     for length in range(1, longest + 1):
         if length > 1:
-            begun = np.maximum(age[alive], age[alive + 1]) + 1
+            # no earlier than its parts begin: their slots may have been taken by others before
+            begun = np.maximum(np.maximum(age[alive], age[alive + 1]) + 1, np.maximum(start[alive], start[alive + 1]))
             keep = inside[alive + length - 1] & (begun <= step)
             alive, begun = alive[keep], begun[keep]
             rolled = np.zeros(len(ids), np.uint64)
@@ -122,6 +123,8 @@ def _levels(ids: np.ndarray, each: np.ndarray, ages: np.ndarray, longest: int, s
         one, two = _slots(hashes[alive], len(ages))
         age = np.full(len(ids) + 1, _NEVER, np.int64)
         age[alive] = np.maximum(ages[one], ages[two])
+        start = np.zeros(len(ids) + 1, np.int64)
+        start[alive] = begun
 
 
 def count_batch(ids: np.ndarray, each: np.ndarray, ages: np.ndarray, step: int, shards: int, longest: int):
