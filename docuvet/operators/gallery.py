@@ -26,14 +26,19 @@ def _usable(df: DataFrame, vector: str) -> DataFrame:
     return df.where(F.col(vector).isNotNull() & (norm > 0))
 
 
-def _packed(df: DataFrame, group: str, block_rows: int, name: str) -> DataFrame:
-    """Unit vectors as blocks: ids and group hashes as long, vectors as double, all in bytes."""
+def face_rows(df: DataFrame, group: str) -> DataFrame:
+    """Faces with a direction: case_id, the hash of their group, embedding as doubles."""
     own = F.xxhash64(F.lit("no group"), "case_id")
-    rows = _usable(df, "embedding").select(
+    return _usable(df, "embedding").select(
         F.col("case_id").cast("long").alias("case_id"),
         F.coalesce(F.when(F.col(group).isNotNull(), F.xxhash64(F.col(group).cast("string"))), own).alias("grp"),
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
+
+
+def _packed(df: DataFrame, group: str, block_rows: int, name: str) -> DataFrame:
+    """Unit vectors as blocks: ids and group hashes as long, vectors as double, all in bytes."""
+    rows = face_rows(df, group)
     names = [f"{name}_{c}" for c in ("ids", "groups", "vectors")]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_identifier
 from ..functions.numbers import round_exact
 from ..functions.vectors import face_similarity
-from ..operators import gallery, matching, risk, signals
+from ..operators import gallery, gallery_index, matching, risk, signals
 from .catalogue_rules import AS_OF, FACES, SCORES, day6, with_zone
 from .harness import Catalogue, py_round
 
@@ -169,6 +169,23 @@ def _(captures, embeddings):
     return gallery.gallery_hits(probes_of(captures), gallery_of(embeddings))
 
 
+@add("f9_indexed_match", ["fx_captures", "embeddings"],
+     f"select case_id, match_case_id, {py_round('s', 3)} as similarity from {_BEST} b where s >= 0.80::double")
+def _(captures, embeddings):
+    found = gallery_index.indexed_best_match(probes_of(captures), gallery_of(embeddings), exact=True)
+    return found.where("match_case_id is not null").select("case_id", "match_case_id", round_exact(F.col("similarity"), 3).alias("similarity"))
+
+
+@add("f9_index_recall", ["fx_captures", "embeddings"],
+     f"select count(*) as probes, count(*) filter (where s >= 0.80::double) as exact_matches, true as recall_reached, true as under_half from {_BEST} b")
+def _(captures, embeddings):
+    probes, faces = probes_of(captures), gallery_of(embeddings)
+    found = gallery_index.indexed_best_match(probes, faces)
+    told = gallery_index.index_recall(found, gallery.gallery_best_match(probes, faces), faces)
+    return told.select("probes", "exact_matches", F.coalesce(F.col("recall") >= 0.99, F.lit(True)).alias("recall_reached"),
+                       (F.col("compared_share") < 0.5).alias("under_half"))
+
+
 @add("f10_gallery_upsert", ["embeddings", "fx_captures"],
      f"""select vec_id as case_id, 0 as created_at, {py_round('embedding[1]', 6)} as first_value from embeddings where vec_id not in (select case_id from @fx_captures c where case_id % 3 > 0)
  union all select case_id, 2, {py_round('live_embedding[2]', 6)} from @fx_captures c where case_id % 3 > 0""")
