@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import ppm
-from .support import text_rows, tidy
+from .support import forget, text_rows, tidy
 
 UNDETERMINED = "und"
 #: Expected number of training texts taken of each language, chosen by a hash of their key.
@@ -81,23 +81,27 @@ def identify_language(cases: DataFrame, labelled: DataFrame, sample_texts: int =
     shape = ", ".join(f"`{name}` {rows.schema[source].dataType.simpleString()}" for name, source in carried.items())
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, model = shared.value
-        for batch in batches:
-            lettered = np.asarray(batch.column("lettered"))
-            known = lettered & (model is not None)
-            best, score, rate = np.zeros(len(known), int), np.zeros(len(known)), np.zeros(len(known))
-            at = 0
-            for keys, texts in text_rows(iter([batch]), "case_id", "raw_text") if model is not None else ():
-                nats = ppm.code_lengths(model, texts)
-                some = slice(at, at + len(keys))
-                best[some], least = nats.argmin(axis=1), nats.min(axis=1)
-                score[some] = 1.0 / np.exp(least[:, None] - nats).sum(axis=1)
-                rate[some] = least / np.array([len(t) + 1 for t in texts])
-                at += len(keys)
-            columns = {name: batch.column(source) for name, source in carried.items()}
-            columns["language"] = pa.array([names[b] if k else UNDETERMINED for b, k in zip(best, known)], pa.string())
-            columns["score"] = pa.array(np.where(known, score, 0.0))
-            columns["nats_per_byte"] = pa.array(rate, mask=~known)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        try:
+            names, model = shared.value
+            for batch in batches:
+                lettered = np.asarray(batch.column("lettered"))
+                known = lettered & (model is not None)
+                best, score, rate = np.zeros(len(known), int), np.zeros(len(known)), np.zeros(len(known))
+                at = 0
+                for keys, texts in text_rows(iter([batch]), "case_id", "raw_text") if model is not None else ():
+                    nats = ppm.code_lengths(model, texts)
+                    some = slice(at, at + len(keys))
+                    best[some], least = nats.argmin(axis=1), nats.min(axis=1)
+                    score[some] = 1.0 / np.exp(least[:, None] - nats).sum(axis=1)
+                    rate[some] = least / np.array([len(t) + 1 for t in texts])
+                    at += len(keys)
+                columns = {name: batch.column(source) for name, source in carried.items()}
+                columns["language"] = pa.array([names[b] if k else UNDETERMINED for b, k in zip(best, known)], pa.string())
+                columns["score"] = pa.array(np.where(known, score, 0.0))
+                columns["nats_per_byte"] = pa.array(rate, mask=~known)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        finally:  # idle workers must not hold the model while other stages run
+            names = model = None
+            forget(shared)
 
     return rows.mapInArrow(tidy(predict), f"{shape}, language string, score double, nats_per_byte double")

@@ -10,6 +10,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 CHUNK_BYTES = 1 << 20
@@ -66,6 +67,11 @@ def kept_in_process(key: Hashable, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+def forget(shipped: Broadcast) -> None:
+    """Drop this worker's copy of a broadcast; the next task that needs it reads it again."""
+    shipped.__dict__.pop("_value", None)
+
+
 def remainder(key: Column, divisor: int) -> Column:
     """crc32 of a key written as text, modulo ``divisor``; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % divisor
