@@ -11,15 +11,18 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..functions.hashing import block_hash, payload_tail
+from ..session import materialize
 
 _ORDER = ("event_ts", "seq")
 
 
-def _tail() -> Column:
+def payload_column() -> Column:
+    """What of an event is hashed behind the previous hash."""
     return payload_tail(F.col("case_id"), F.col("action"), F.col("actor"), F.col("event_ts"), F.col("metadata"))
 
 
@@ -57,7 +60,7 @@ def seal_events(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     before, and the fold itself streams a sorted partition in constant memory
     instead of collecting a chain.
     """
-    df = events.withColumn("_tail", _tail())
+    df = events.withColumn("_tail", payload_column())
     if heads is None:
         df = df.withColumn("_head", F.lit(fixed.GENESIS))
     else:
@@ -71,57 +74,74 @@ def seal_events(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     return ordered.mapInArrow(_folder(), f"{kept}, previous_hash string, entry_hash string")
 
 
-def positions(ledger: DataFrame, span: str = "hour") -> DataFrame:
+def _numbering():
+    """Places within this task's part of each chain, and the hash before, as a closure that travels with its tasks."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, chain, rank, before = TaskContext.get().partitionId(), object(), 0, None
+        for batch in batches:
+            ranks, previous = [], []
+            for c, own in zip(batch.column("chain_id").to_pylist(), batch.column("_own").to_pylist()):
+                if c != chain:
+                    chain, rank, before = c, 0, None
+                rank += 1
+                ranks.append(rank)
+                previous.append(before)
+                before = own
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([part] * len(ranks), pa.int32()), pa.array(ranks, pa.int64()), pa.array(previous, pa.string())],
+                [*batch.schema.names, "_part", "_rank", "_prev"])
+
+    return number
+
+
+def positions(ledger: DataFrame) -> DataFrame:
     """Each block's 1-based place in its chain and its predecessor's hash.
 
-    Windows run inside (chain, time span) only. What crosses a span, the number of
-    blocks before it and the hash it starts from, comes from a summary with one
-    row per span, so a single huge chain is still spread over the cluster.
+    The ledger is dealt by ranges of (chain, time, seq), so a huge chain, even one whose
+    blocks all fall into one hour, is spread over the cluster, and numbered as it streams
+    by, in constant memory. What a part needs from those before it, the number of blocks
+    and the hash it starts from, comes from a summary of one row per part and chain. The
+    numbered parts are written once: ranges are drawn from a sample, and a recomputed
+    task must not see others. Columns of these two names are replaced.
     """
-    by = ["chain_id", "_span"]
-    df = ledger.withColumn("_span", F.date_trunc(span, "event_ts")).withColumn(
-        "_own", F.coalesce("entry_hash", F.lit(fixed.GENESIS))
-    )
-    inside = Window.partitionBy(*by).orderBy(*_ORDER)
-    rows = df.withColumns(
-        {"_rank": F.row_number().over(inside), "_prev": F.lag("_own").over(inside)}
-    )
-    across = Window.partitionBy("chain_id").orderBy("_span")
+    ledger = ledger.drop("position", "expected_previous")
+    df = ledger.withColumn("_own", F.coalesce("entry_hash", F.lit(fixed.GENESIS)))
+    order = ("chain_id", *_ORDER)
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    rows = materialize(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbering(), f"{shape}, _part int, _rank long, _prev string"),
+        "ledger-parts")
+    across = Window.partitionBy("chain_id").orderBy("_part")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    spans = (
-        df.groupBy(*by)
-        .agg(F.count("*").alias("_n"), F.max_by("_own", F.struct(*_ORDER)).alias("_last"))
-        .select(
-            *by,
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-            F.lag("_last").over(across).alias("_start"),
-        )
+    parts = (
+        rows.groupBy("chain_id", "_part").agg(F.max("_rank").alias("_n"), F.max_by("_own", "_rank").alias("_last"))
+        .select("chain_id", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.lag("_last").over(across).alias("_start"))
     )
-    joined = rows.join(spans, by)
-    return joined.select(
+    return rows.join(parts, ["chain_id", "_part"]).select(
         *ledger.columns,
         (F.col("_before") + F.col("_rank")).cast("long").alias("position"),
         F.coalesce("_prev", "_start", F.lit(fixed.GENESIS)).alias("expected_previous"),
     )
 
 
-def block_status(ledger: DataFrame, span: str = "hour") -> DataFrame:
+def block_status(ledger: DataFrame) -> DataFrame:
     """Every block with its verdict; linkage is judged before the signature.
 
     Both hashes are stored, so recomputing them is a column expression.
     """
     stored = F.coalesce(F.nullif("previous_hash", F.lit("")), F.lit(fixed.GENESIS))
-    recomputed = block_hash(F.col("previous_hash"), _tail())
+    recomputed = block_hash(F.col("previous_hash"), payload_column())
     verdict = (
         F.when(stored != F.col("expected_previous"), "LINKAGE")
         .when(F.col("entry_hash").isNull() | (F.col("entry_hash") != recomputed), "SIGNATURE")
     )
-    return positions(ledger, span).withColumn("break_reason", verdict)
+    return positions(ledger).withColumn("break_reason", verdict)
 
 
-def verify_chain(ledger: DataFrame, span: str = "hour") -> DataFrame:
+def verify_chain(ledger: DataFrame) -> DataFrame:
     """Per chain: validity, size, head and the first broken block."""
-    blocks = block_status(ledger, span)
+    blocks = block_status(ledger)
     first = F.min_by(
         F.struct("seq", "position", "break_reason"),
         F.when(F.col("break_reason").isNotNull(), F.col("position")),
@@ -142,12 +162,12 @@ def verify_chain(ledger: DataFrame, span: str = "hour") -> DataFrame:
     )
 
 
-def verify_cases(ledger: DataFrame, cases: DataFrame | None = None, span: str = "hour") -> DataFrame:
+def verify_cases(ledger: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     """The whole-chain verdict with size, head and last position scoped to each case.
 
     ``cases`` (chain_id, case_id) adds cases that never logged anything: valid, 0.
     """
-    blocks = block_status(ledger, span)
+    blocks = block_status(ledger)
     per_case = blocks.groupBy("chain_id", "case_id").agg(
         F.count("*").alias("total_records"),
         F.max_by("entry_hash", "position").alias("head_hash"),

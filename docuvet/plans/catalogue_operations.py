@@ -66,7 +66,10 @@ def _(audit):
     return audit.select("seq", block_hash(F.lit(None).cast("string"), tail).alias("block"))
 
 
-@add("h3_seal_events", ["fx_audit"], f"{WITH} select seq, chain_id, previous_hash, entry_hash from sealed")
+SEALED = f"{WITH} select seq, chain_id, previous_hash, entry_hash from sealed"
+
+
+@add("h3_seal_events", ["fx_audit"], SEALED)
 def _(audit):
     return ledger.seal_events(audit).select("seq", "chain_id", "previous_hash", "entry_hash")
 

@@ -10,9 +10,10 @@ from ..functions.vectors import face_similarity
 from ..operators import evaluate, ledger, matching, trainset
 from ..session import scratch_dir
 from ..sources import annotations
-from ..streaming import captures as capture_stream, latency, watchlist as watch_stream
+from ..streaming import captures as capture_stream, keyed, latency, watchlist as watch_stream
 from . import fixtures
 from .catalogue_extract import _RESOLVED, parsed_sql
+from .catalogue_operations import SEALED
 from .catalogue_risk import _SIM, HITS, gallery_of, probes_of
 from .catalogue_rules import _MEAS_SCORE, EXIF, tags
 from .harness import Catalogue, expand, py_round
@@ -336,6 +337,38 @@ CATALOGUE.oracles["s2_stream_step_latency"] = expand(
 )
 
 
+def _append(stream, out):
+    """Run a bounded stream into a table and read that back."""
+    query = (
+        stream.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows")
+        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def _stream_completed(spark, sf_dir):
+    with keyed.keyed_state(spark):
+        steps = _append(keyed.stream_completed_steps(_audit_stream(spark, sf_dir)), scratch_dir(spark, "stream-steps"))
+    result = latency.latency_by_window(steps)
+    return result.select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "module", "sample_count", round_exact(F.col("time_ms"), 6).alias("time_ms"))
+
+
+CATALOGUE.queries["s2_stream_completed_steps"] = _stream_completed
+CATALOGUE.oracles["s2_stream_completed_steps"] = CATALOGUE.oracles["s2_stream_step_latency"]
+
+
+def _stream_sealed(spark, sf_dir):
+    with keyed.keyed_state(spark):
+        sealed = _append(keyed.stream_sealed_events(_audit_stream(spark, sf_dir)), scratch_dir(spark, "stream-sealed"))
+    return sealed.select("seq", "chain_id", "previous_hash", "entry_hash")
+
+
+CATALOGUE.queries["s3_stream_sealed_chains"] = _stream_sealed
+CATALOGUE.oracles["s3_stream_sealed_chains"] = expand(SEALED)
+
+
 def _stream_captures(spark, sf_dir):
     out = scratch_dir(spark, "stream-captures")
     arrivals = _arrivals(spark, sf_dir, "embeddings").select(
