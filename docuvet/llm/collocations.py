@@ -8,6 +8,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -21,6 +22,8 @@ SHARDS = 4
 BATCH_BYTES = 2 << 20
 #: Slots of the table of activation steps, one byte each: the bound of what is broadcast, whatever the corpus.
 SLOTS = 1 << 24
+#: Slots that words are counted in before anything else, one bit each once they are counted.
+WORD_SLOTS = 1 << 27
 _NEVER = 255
 
 _FOLDED = bytearray(range(256))
@@ -47,14 +50,19 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ids.extend(map(words.__getitem__, found))
                     ids.append(-1)
         size.pop(shard)
-        order = sorted((n, language, word) for language, words in known.items() for word, n in words.items())
-        seeds = {language: xxhash.xxh64_intdigest(language) for language in known}
+        words = [b""] * next(numbers)
+        spoken = np.zeros(len(words), np.int32)
+        hashes = np.zeros(len(words), np.uint64)
+        for place, (language, own) in enumerate(known.items()):
+            seed, at = xxhash.xxh64_intdigest(language), list(own.values())
+            spoken[at] = place
+            hashes[at] = [xxhash.xxh64_intdigest(word, seed) for word in own]
+            for word, n in own.items():
+                words[n] = word
         return pa.RecordBatch.from_arrays([
-            pa.array([shard], pa.int32()), pa.array([np.array(ids, np.int32).tobytes()], pa.binary()),
-            pa.array([np.array([xxhash.xxh64_intdigest(word, seeds[language]) for _, language, word in order], np.uint64).tobytes()], pa.binary()),
-            pa.array([[language for _, language, _ in order]], pa.list_(pa.string())),
-            pa.array([[word.decode() for _, _, word in order]], pa.list_(pa.string())),
-        ], ["shard", "ids", "hashes", "languages", "words"])
+            pa.array([shard], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (np.array(ids, np.int32), hashes, spoken)),
+            pa.array([list(known)], pa.list_(pa.string())), pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
+        ], ["shard", "ids", "hashes", "spoken", "languages", "words"])
 
     for batch in batches:
         for shard, language, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "language", "raw_text"))):
@@ -95,16 +103,18 @@ def _runs(ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, length: int) -> t
     return order[first], np.diff(np.append(first, len(order)))
 
 
-def _levels(ids: np.ndarray, each: np.ndarray, ages: np.ndarray, longest: int, step: int):
+def _levels(ids: np.ndarray, each: np.ndarray, usable: np.ndarray, ages: np.ndarray, longest: int, step: int):
     """Per length: places of phrases whose parts are in ``ages`` by ``step``, their first step, and hashes by place.
 
-    ``each``: a hash of every word with its language. ``ages`` holds at a phrase's two
+    ``each``: a hash of every word with its language; ``usable``: which words can be
+    frequent at all, the others end a phrase like a piece does. ``ages`` holds at a phrase's two
     slots the step at which it reached the threshold. Slots never change once set, so
     every task and step derives the same cycle for a phrase; a shared slot only lets a
     phrase start its (complete) cycle earlier.
     """
-    inside = np.append(ids >= 0, np.zeros(longest, bool))
-    alive = np.flatnonzero(ids >= 0)
+    held = np.append(usable, False)[ids]
+    inside = np.append(held, np.zeros(longest, bool))
+    alive = np.flatnonzero(held)
     words = np.zeros(len(ids), np.uint64)
     words[alive] = each[ids[alive]]
     hashes, begun = words, np.zeros(len(alive), np.int64)
@@ -127,12 +137,12 @@ def _levels(ids: np.ndarray, each: np.ndarray, ages: np.ndarray, longest: int, s
         start[alive] = begun
 
 
-def count_batch(ids: np.ndarray, each: np.ndarray, ages: np.ndarray, step: int, shards: int, longest: int):
+def count_batch(ids: np.ndarray, each: np.ndarray, usable: np.ndarray, ages: np.ndarray, step: int, shards: int, longest: int):
     """Hashes, numbers and cycles of the phrases whose cycle includes ``step``; a cycle is first step * 8 + length."""
-    for length, alive, begun, hashes in _levels(ids, each, ages, longest, step):
+    for length, alive, begun, hashes in _levels(ids, each, usable, ages, longest, step):
         if length == 1:
             if step < shards:
-                yield each, np.bincount(ids[alive], minlength=len(each)), np.ones(len(each), np.int64)
+                yield each[usable], np.bincount(ids[alive], minlength=len(each))[usable], np.ones(int(usable.sum()), np.int64)
             continue
         counted = begun + shards > step
         found, first, numbers = np.unique(hashes[alive[counted]], return_index=True, return_counts=True)
@@ -149,8 +159,9 @@ def count_phrases(cases: DataFrame, threshold: int = 100, longest: int = 5, shar
     its parts of one word less have reached the threshold, each for exactly one cycle.
     Counting ends when nothing has reached the threshold for a cycle.
 
-    Scans count hashes of phrases, and hashes that share a value can only count too
-    much. What they find frequent is then counted by its words in one last scan, whose
+    Words are first counted by slot: those of a slot that stays below the threshold
+    cannot be frequent and are left out of the scans. Scans count hashes of phrases, and
+    hashes that share a value can only count too much. What they find frequent is then counted by its words in one last scan, whose
     numbers are the result. Counts stay in Spark, grouped where they are made before they
     are shuffled; each scan's state is written to the shared folder and replaces the one
     before. What passes through the driver is a table of ``slots`` bytes (a power of two).
@@ -160,9 +171,44 @@ def count_phrases(cases: DataFrame, threshold: int = 100, longest: int = 5, shar
         F.pmod(F.xxhash64("case_id", "raw_text"), F.lit(shards)).cast("int").alias("shard"), language.alias("language"),
         F.coalesce(F.col("raw_text").cast("string"), F.lit("")).alias("raw_text"))
     packed = materialize(
-        dealt.mapInArrow(tidy(_pack), "shard int, ids binary, hashes binary, languages array<string>, words array<string>"),
+        dealt.mapInArrow(tidy(_pack), "shard int, ids binary, hashes binary, spoken binary, languages array<string>, words array<string>"),
         "shards", ["shard"])
     spark = cases.sparkSession
+
+    def by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            used, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            sums = np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+            held.clear()
+            for lo in range(0, len(used), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(used[lo:lo + 100_000]), pa.array(sums[lo:lo + 100_000])], ["slot", "n"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids = np.frombuffer(batch.column("ids")[row].as_py(), np.int32)
+                each = np.frombuffer(batch.column("hashes")[row].as_py(), np.uint64)
+                held.append((word_slots(each), np.bincount(ids[ids >= 0], minlength=len(each))))
+                if sum(len(x) for x, _ in held) > 1_000_000:
+                    yield from summed()
+        if held:
+            yield from summed()
+
+    def word_slots(each: np.ndarray) -> np.ndarray:
+        return (each & np.uint64(WORD_SLOTS - 1)).astype(np.int32)
+
+    # of all slots only the full ones come to the driver, as one bit each they go to the tasks
+    full = packed.select("ids", "hashes").mapInArrow(tidy(by_slot), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(
+        F.col("n") >= threshold).select("slot").toPandas()["slot"].to_numpy(np.int64)
+    possible = np.zeros(WORD_SLOTS >> 3, np.uint8)
+    np.bitwise_or.at(possible, full >> 3, (1 << (full & 7)).astype(np.uint8))
+    bits = spark.sparkContext.broadcast(possible.tobytes())
+
+    def usable_words(each: np.ndarray, bits: bytes) -> np.ndarray:
+        slot = word_slots(each)
+        return np.frombuffer(bits, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
+
     ages = np.full(slots, _NEVER, np.uint8)
     begun = F.floor(F.col("cycle") / 8)
     state, found = None, []
@@ -178,7 +224,8 @@ def count_phrases(cases: DataFrame, threshold: int = 100, longest: int = 5, shar
                 for row in range(batch.num_rows):
                     ids = np.frombuffer(batch.column("ids")[row].as_py(), np.int32)
                     each = np.frombuffer(batch.column("hashes")[row].as_py(), np.uint64)
-                    for hashes, numbers, cycle in count_batch(ids, each, table, step, shards, longest):
+                    usable = usable_words(each, bits.value)
+                    for hashes, numbers, cycle in count_batch(ids, each, usable, table, step, shards, longest):
                         for lo in range(0, len(hashes), 100_000):
                             part = slice(lo, lo + 100_000)
                             yield pa.RecordBatch.from_arrays(
@@ -219,22 +266,20 @@ def count_phrases(cases: DataFrame, threshold: int = 100, longest: int = 5, shar
         table = np.frombuffer(shipped.value, np.uint8)
         for batch in batches:
             for row in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[row].as_py(), np.int32)
-                each = np.frombuffer(batch.column("hashes")[row].as_py(), np.uint64)
-                languages, words = (batch.column(c)[row].as_py() for c in ("languages", "words"))
-                own, place = np.unique(np.array(languages, object), return_inverse=True)
-                sums = np.bincount(place[ids[ids >= 0]], minlength=len(own)) if len(words) else []
+                ids, each, spoken = (
+                    np.frombuffer(batch.column(c)[row].as_py(), t) for c, t in (("ids", np.int32), ("hashes", np.uint64), ("spoken", np.int32)))
+                languages, words = batch.column("languages")[row].values, batch.column("words")[row].values
+                sums = np.bincount(spoken[ids[ids >= 0]], minlength=len(languages))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.string()), pa.array([None] * len(own), pa.string()), pa.array([0] * len(own), pa.int32()),
-                     pa.array(sums, pa.int64())], ["language", "phrase", "length", "occurrences"])
-                for length, alive, _, hashes in _levels(ids, each, table, longest, 1):
+                    [languages, pa.nulls(len(sums), pa.string()), pa.array(np.zeros(len(sums), np.int32)), pa.array(sums.astype(np.int64))],
+                    ["language", "phrase", "length", "occurrences"])
+                for length, alive, _, hashes in _levels(ids, each, usable_words(each, bits.value), table, longest, 1):
                     one, two = _slots(hashes[alive], slots)
                     first, numbers = _runs(ids, hashes, alive[(table[one] == 0) & (table[two] == 0)], length)
-                    spelled = ids[first[:, None] + np.arange(length)].tolist()
+                    spelled = [words.take(pa.array(ids[first + j])) for j in range(length)]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([languages[x[0]] for x in spelled], pa.string()),
-                        pa.array([" ".join([words[i] for i in x]) for x in spelled], pa.string()),
-                        pa.array(np.full(len(spelled), length, np.int32)), pa.array(numbers.astype(np.int64)),
+                        languages.take(pa.array(spoken[ids[first]])), pc.binary_join_element_wise(*spelled, " ") if length > 1 else spelled[0],
+                        pa.array(np.full(len(first), length, np.int32)), pa.array(numbers.astype(np.int64)),
                     ], ["language", "phrase", "length", "occurrences"])
 
     named = materialize(
@@ -242,6 +287,7 @@ def count_phrases(cases: DataFrame, threshold: int = 100, longest: int = 5, shar
         .groupBy("language", "phrase", "length").agg(F.sum("occurrences").alias("occurrences")).where(
             (F.col("length") == 0) | (F.col("occurrences") >= threshold)), "candidates")
     shipped.destroy()
+    bits.destroy()
     for used in (state, packed, *found):
         discard(used)
     return named.where("length > 0"), named.where("length = 0").select("language", F.col("occurrences").alias("n_words"))
