@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,11 @@ RANGE_BYTES = 1 << 16
 #: Fragments that one composition takes.
 FAN = 16
 #: Bytes of text that share one table of links.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Distinct units that a worker remembers at once.
 REMEMBERED = 150_000
+#: Units that one line of a tokenizer's input holds.
+TOGETHER = 200
 #: Groups with more links are linked id by id, not token by token.
 WIDE = 4_096
 
@@ -69,36 +72,53 @@ class Aligner:
         self.cut = re.compile(r"(?<=\S) (?=\S)")
         #: unit: numbers of first ids, second ids, groups, links; the groups in writing; pairs and how often each is linked
         self.known: dict[str, tuple | None] = {}
+        #: units that were met in more than one batch
+        self.again: set[str] = set()
 
     @classmethod
     def of(cls, byte_level_path: str, piece_path: str) -> Aligner:
         return kept_in_process(("aligner", byte_level_path, piece_path), lambda: cls(byte_level_path, piece_path))
 
     def learn(self, units: list[str]) -> None:
-        """Tokenize new units and remember their groups; a unit that its tokens do not spell is remembered as None."""
+        """Tokenize new units and remember their groups; a unit that its tokens do not spell is remembered as None.
+
+        Units that neither start nor end in white space are tokenized many to a line, as a
+        space separates them like in a text; the others one by one.
+        """
+        odd = [u for u in units if u[0].isspace() or u[-1].isspace()]
+        if odd:
+            skip = set(odd)
+            units = [u for u in units if u not in skip]
+            self._learn(odd, 1)
+        if units:
+            self._learn(units, TOGETHER)
+
+    def _learn(self, units: list[str], together: int) -> None:
         raw = [(" " + u).encode() for u in units]
-        first = [e.ids for e in self.first.encode_batch([" " + u for u in units], add_special_tokens=False)]
-        second = self.second.encode(units)
+        lines = [" ".join(units[i:i + together]) for i in range(0, len(units), together)]
+        first = [e.ids for e in self.first.encode_batch_fast([" " + line for line in lines], add_special_tokens=False)]
+        second = self.second.encode(lines, num_threads=1)
         whole = b"".join(raw)
         spell_first, spell_second = self.first_bytes.__getitem__, self.second_bytes.__getitem__
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        flat = [np.fromiter((i for ids in side for i in ids), np.int64) for side in (first, second)]
-        counts = [np.fromiter(map(len, side), np.int64, len(side)) for side in (first, second)]
+        flat = [np.fromiter(chain.from_iterable(side), np.int64) for side in (first, second)]
         ends = [np.cumsum(s[f]) for s, f in zip((self.first_sizes, self.second_sizes), flat)]
-        stops = np.cumsum(sizes)
+        stops = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
 
-        def closes(side: int) -> bool:
+        def closes(side: np.ndarray) -> bool:
             """Do this side's tokens end where units end?"""
-            return bool(counts[side].all()) and np.array_equal(ends[side][np.cumsum(counts[side]) - 1], stops)
+            at = np.searchsorted(side, stops)
+            return len(side) > 0 and at[-1] < len(side) and np.array_equal(side[at], stops) and side[-1] == stops[-1]
 
-        if not (closes(0) and closes(1) and b"".join(map(spell_first, flat[0].tolist())) == whole
+        if not (closes(ends[0]) and closes(ends[1]) and b"".join(map(spell_first, flat[0].tolist())) == whole
                 and b"".join(map(spell_second, flat[1].tolist())) == whole):
+            if together > 1:  # find the units that are not spelled
+                return self._learn(units, 1)
             good = [b"".join(map(spell_first, a)) == r == b"".join(map(spell_second, b)) for a, b, r in zip(first, second, raw)]
             self.known.update((u, None) for u, g in zip(units, good) if not g)
-            if any(good) and not all(good):
-                self.learn([u for u, g in zip(units, good) if g])
-            if not all(good):
-                return
+            if any(good):
+                self._learn([u for u, g in zip(units, good) if g], 1)
+            return
+        counts = [np.bincount(np.searchsorted(stops, e), minlength=len(units)) for e in ends]
         shared = np.intersect1d(*ends)
         group = [np.searchsorted(shared, e) for e in ends]
         n = [np.bincount(g, minlength=len(shared)) for g in group]
@@ -136,13 +156,15 @@ class Aligner:
 
     def align(self, texts: list[str]) -> dict:
         """Counts, written groups and the link tables of many texts; an empty text has no units."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        if len(self.known) > REMEMBERED:  # most units never come again
+            self.known = {u: self.known[u] for u in self.again}
+            self.again = set()
         split = [self.cut.split(t) if t else [] for t in texts]
         place: dict[str, int] = {}
         rows = [np.array([place.setdefault(u, len(place)) for u in units], np.int64) for units in split]
         del split
         new = [u for u in place if u not in self.known]
+        self.again.update(self.known.keys() & place.keys())
         for lo in range(0, len(new), 50_000):
             self.learn(new[lo:lo + 50_000])
         found = [self.known[u] for u in place]
