@@ -75,9 +75,9 @@ def _(pairs):
     return rounded(evaluate.rates_at_thresholds(scored_pairs(pairs), _AT), keep=("threshold",))
 
 
-@add("k4_score_distribution", ["fx_predictions"],
+@add("k4_score_distribution", ["fx_scores"],
      f"""select domain, count(prob) as n, {R('avg(prob)')} as mean, {R('stddev_pop(prob)')} as std, min(prob) as min, max(prob) as max, {R('quantile_cont(prob, 0.5)')} as p50,
- {R('quantile_cont(prob, 0.9)')} as p90, {R('quantile_cont(prob, 0.99)')} as p99 from @fx_predictions f group by domain""")
+ {R('quantile_cont(prob, 0.9)')} as p90, {R('quantile_cont(prob, 0.99)')} as p99 from @fx_scores f group by domain""")
 def _(predictions):
     return rounded(evaluate.score_distribution(predictions, "domain", "prob"))
 
@@ -184,8 +184,8 @@ def _(measures, images):
 _SENS = [0.15, 0.18, 0.20, 0.22, 0.25, 0.28, 0.30, 0.35]
 
 
-@add("k12_threshold_sensitivity", ["fx_predictions"],
-     " union all ".join(f"select grp, {t}::double as threshold, {R(f'count(*) filter (where prob >= {t}::double) / count(*)::double')} as rate from @fx_predictions f group by grp" for t in _SENS))
+@add("k12_threshold_sensitivity", ["fx_scores"],
+     " union all ".join(f"select grp, {t}::double as threshold, {R(f'count(*) filter (where prob >= {t}::double) / count(*)::double')} as rate from @fx_scores f group by grp" for t in _SENS))
 def _(predictions):
     return rounded(evaluate.threshold_sensitivity(predictions, _SENS, "grp", "prob"), keep=("threshold",))
 
@@ -197,14 +197,14 @@ _NUM = lambda digest: f"cast('0x' || substring({digest}, 1, 15) as bigint)"
 _DRAW = _NUM("md5('42|domain|' || draw)") + " / 1152921504606846976.0::double"
 
 
-@add("l1_domain_weights", ["fx_predictions"],
-     f"select id, domain, {R('case domain when ' + repr('src0') + ' then 0.5 when ' + repr('src1') + ' then 0.25 when ' + repr('src2') + ' then 0.25 else 0.0 end / count(*) over (partition by domain)::double')} as weight from @fx_predictions f")
+@add("l1_domain_weights", ["fx_scores"],
+     f"select id, domain, {R('case domain when ' + repr('src0') + ' then 0.5 when ' + repr('src1') + ' then 0.25 when ' + repr('src2') + ' then 0.25 else 0.0 end / count(*) over (partition by domain)::double')} as weight from @fx_scores f")
 def _(predictions):
     return rounded(trainset.domain_weights(predictions, _SHARES).select("id", "domain", "weight"))
 
 
-@add("l1_domain_balanced_sample", ["fx_predictions"],
-     f"""with f as materialized (select id, domain, row_number() over (partition by domain order by md5('42|' || id), id) as pos, count(*) over (partition by domain) as n from @fx_predictions f0),
+@add("l1_domain_balanced_sample", ["fx_scores"],
+     f"""with f as materialized (select id, domain, row_number() over (partition by domain order by md5('42|' || id), id) as pos, count(*) over (partition by domain) as n from @fx_scores f0),
  d as (select draw, case when {_DRAW} < 0.5::double then 'src0' when {_DRAW} < 0.75::double then 'src1' else 'src2' end as domain from (select unnest(range(0, (select count(*) from f))) as draw) r)
  select d.draw, f.id, f.domain from d join f on f.domain = d.domain and f.pos = {_NUM("md5('42|row|' || draw)")} % f.n + 1""")
 def _(predictions):
@@ -213,8 +213,8 @@ def _(predictions):
     return trainset.domain_balanced_sample(predictions, shares, predictions.count()).select("draw", "id", "domain")
 
 
-@add("l2_train_val_split", ["fx_predictions"],
-     """select id, case when row_number() over (order by md5('42|' || id), id) <= cast(floor(0.2::double * (select count(*) from @fx_predictions g)) as bigint) then 'val' else 'train' end as split from @fx_predictions f""")
+@add("l2_train_val_split", ["fx_scores"],
+     """select id, case when row_number() over (order by md5('42|' || id), id) <= cast(floor(0.2::double * (select count(*) from @fx_scores g)) as bigint) then 'val' else 'train' end as split from @fx_scores f""")
 def _(predictions):
     return trainset.train_val_split(predictions).select("id", "split")
 
@@ -251,11 +251,11 @@ def _(customer):
 
 
 @add("l5_group_accuracy", ["fx_predictions", "documents"],
-     f"""with s as (select domain, case when (prob > 0.5) = (y = 1) then 1 else 0 end as ok from @fx_predictions f where grp <> 'fr')
+     f"""with s as (select domain, case when (prob > 0.5) = (y = 1) then 1 else 0 end as ok from @fx_predictions f)
  select d.domain, count(s.ok) as n, {R('case when count(s.ok) > 0 then sum(s.ok) / count(s.ok)::double end')} as accuracy from (select distinct source as domain from documents union all select 'never') d left join s on s.domain = d.domain group by d.domain
  union all select 'OVERALL', count(*), {R('sum(ok) / count(*)::double')} from s""")
 def _(predictions, documents):
-    val = predictions.where("grp <> 'fr'").withColumn("predicted", F.when(F.col("prob") > 0.5, 1).otherwise(0))
+    val = predictions.withColumn("predicted", F.when(F.col("prob") > 0.5, 1).otherwise(0))
     domains = documents.select(F.col("source").alias("domain")).distinct()
     never = documents.agg(F.lit("never").alias("domain"))
     return rounded(trainset.group_accuracy(val, domains.unionByName(never)))

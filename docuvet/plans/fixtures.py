@@ -77,7 +77,7 @@ select c_custkey as case_id,
  case when c_custkey % 3 = 0 then 'X' || substring(lpad(cast(c_custkey as string), 7, '0'), 1, 3) || 'B'
    || substring(lpad(cast(c_custkey as string), 7, '0'), 5, 3)
   else 'X' || lpad(cast(c_custkey as string), 7, '0') end as document_number
-from {customer} join {part} on p_partkey = c_custkey % 2000
+from {customer} cross join (select max(p_partkey) as parts from {part}) n join {part} on p_partkey = c_custkey % parts + 1
 """
 
 TEXTS["fx_submissions"] = tuple(
@@ -95,6 +95,11 @@ from (select *, {explode} as v from {{customer}}) c
     for explode in ("explode(array(1, 3, 7))", "unnest([1, 3, 7])")
 )
 
+# Scores of all documents, and of those whose truth is known.
+TEXTS["fx_scores"] = """
+select doc_id as id, source as domain, lang as grp, cast(n_chars * 31 % 1000 as double) / 1000 as prob from {documents}
+"""
+
 TEXTS["fx_predictions"] = """
 select d.doc_id as id, d.source as domain, d.lang as grp, l.quality as y, l.toxic as toxic,
  cast(d.n_chars * 31 % 1000 as double) / 1000 as prob
@@ -237,7 +242,8 @@ select c_custkey as doc_id, case c_custkey % 7
  when 4 then 'ENTRY VISA' || chr(10) || 'VISA NUMBEF' || chr(10) || 'UV' || lpad(cast(c_custkey as string), 7, '0') || chr(10) || 'FULL NAME' || chr(10) || p.nm || chr(10) || 'NATIONALITY' || chr(10) || 'UTO' || chr(10) || 'ENTRY VALIDATION' || chr(10) || case when c_custkey % 2 = 0 then 'SINGLE ENTRY' else 'FOREVER' end || chr(10) || 'STAY DURATION' || chr(10) || '30/06/2026'
  when 5 then 'WORK PERMIT' || chr(10) || 'PERMIT NUMBER' || chr(10) || 'RP' || lpad(cast(c_custkey as string), 7, '0') || chr(10) || 'PERMIT TYPE' || chr(10) || 'WORK' || chr(10) || 'DATE OF EXPIRY' || chr(10) || '01/01/2025'
  else 'REPUBLIC' || chr(10) || case when c_custkey % 2 = 0 then 'JRNAME / NOM' else 'JRNAME' end || chr(10) || p.nm || chr(10) || 'PAYS' || chr(10) || 'REPUBLIC OF UTOPIA' || chr(10) || 'SEXE' || chr(10) || 'F' || chr(10) || 'DEXPIRATION' || chr(10) || '1/2/2031' || chr(10) || 'P' || lpad(cast(c_custkey as string), 7, '0') end as raw_text
-from {customer} join (select p_partkey, upper(p_name) as nm from {part}) p on p_partkey = c_custkey % 2000
+from {customer} cross join (select max(p_partkey) as parts from {part}) n
+ join (select p_partkey, upper(p_name) as nm from {part}) p on p_partkey = c_custkey % parts + 1
 """
 
 # Whole-page reads of passports and cards: printed text with MRZ lines somewhere in it.

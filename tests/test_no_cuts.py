@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docuvet.operators import analytics, gallery, lifecycle, matching, risk, signals, trainset
+from docuvet.plans import fixtures
 
 
 def test_pages_may_be_longer_than_two_hundred_rows(spark):
@@ -103,3 +104,8 @@ def test_embeddings_of_unequal_length_are_named(spark):
     faces = spark.createDataFrame([(1, [1.0, 0.0]), (7, [1.0, 0.0, 0.0, 0.0])], "case_id long, embedding array<float>").coalesce(1)
     with pytest.raises(Exception, match="differ in length|reshape"):
         gallery.gallery_best_match(faces, faces).collect()
+
+
+@pytest.mark.parametrize("derived, base", [("fx_subjects", "customer"), ("fx_ocr_text", "customer"), ("fx_scores", "documents")])
+def test_derived_tables_keep_every_row(spark, sf_dir, derived, base):
+    assert fixtures.load(spark, sf_dir, derived).count() == spark.read.parquet(f"{sf_dir}/{base}.parquet").count() > 0
