@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from .fixed import GENESIS, SYSTEM_CASE
@@ -37,6 +40,39 @@ def canonical_json(entries: Column) -> Column:
     return F.when(F.coalesce(F.size(entries), F.lit(0)) <= 0, F.lit("{}")).otherwise(ascii_safe)
 
 
+def _sorted_keys():
+    """The rewriting of JSON texts, as a closure that travels with its tasks."""
+
+    def rewrite(text: str | None) -> str | None:
+        try:
+            value = json.loads(text) if text else None
+        except ValueError:
+            return None
+        return json.dumps(value, sort_keys=True, separators=(",", ":")) if value else "{}"
+
+    return lambda texts: pd.Series([rewrite(t) for t in texts], dtype=object)
+
+
+def canonical_json_text(text: Column) -> Column:
+    """JSON text of any depth with sorted keys on every level, no spaces and non-ASCII characters escaped.
+
+    NULL, empty text and empty objects give ``{}``; text that is not JSON gives NULL. Depth
+    and keys differ from row to row, which no expression can follow, so rows are rewritten
+    in Arrow batches. Numbers keep their value in the shortest form that reads back alike.
+    """
+    return F.pandas_udf(_sorted_keys(), "string")(text.cast("string"))
+
+
+def canonical_json_of(value: Column) -> Column:
+    """Canonical JSON of nested structs, arrays and maps; missing fields are ``null``.
+
+    Times print with their fraction unless it is zero (also in a text that looks just like one).
+    """
+    options = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "dateFormat": "yyyy-MM-dd"}
+    text = F.regexp_replace(F.to_json(value, options), r'"(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\.000000"', '"$1"')
+    return F.when(value.isNull(), "{}").otherwise(canonical_json_text(text))
+
+
 def iso_timestamp(ts: Column) -> Column:
     """ISO text; the fraction is printed only when it is not zero."""
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")

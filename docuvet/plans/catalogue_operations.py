@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.hashing import block_hash, canonical_json, iso_timestamp, payload_tail
+from ..functions.hashing import block_hash, canonical_json, canonical_json_text, iso_timestamp, payload_tail
 from ..operators import analytics, ledger, lifecycle
 from ..session import materialize
 from .harness import Catalogue, py_round
@@ -59,6 +59,25 @@ def _(cases):
     return cases.select("case_id", canonical_json(F.when(F.col("case_id") % 50 != 0, entries)).alias("canonical"))
 
 
+_NESTED = """'{"applicant":{"born":null,"country":"' || country || '","names":["caf\\u00e9",{"a":1,"b":[]}]},"number":' || case when document_number is null then 'null' else '"' || document_number || '"' end || ',"share":' || case when case_id % 2 = 0 then '0.25' else '12500000000.0' end || ',"valid":' || case when case_id % 3 = 0 then 'true' else 'false' end || '}'"""
+
+
+@add("h1_nested_json", ["fx_cases"], f"select case_id, {_NESTED} as of_struct, {_NESTED} as of_text from @fx_cases c")
+def _(cases):
+    value = F.struct(
+        (F.col("case_id") % 3 == 0).alias("valid"), F.when(F.col("case_id") % 2 == 0, 0.25).otherwise(1.25e10).alias("share"),
+        F.col("document_number").alias("number"), F.struct(F.col("country"), F.lit(None).cast("string").alias("born")).alias("applicant"))
+    names = F.lit('["café",{"b":[ ],"a":1}]')
+    text = F.concat(F.lit('{"valid" : '), (F.col("case_id") % 3 == 0).cast("string"), F.lit(', "share": '),
+                    F.when(F.col("case_id") % 2 == 0, "0.250").otherwise("1.25e10"), F.lit(', "number":'),
+                    F.coalesce(F.concat(F.lit('"'), F.col("document_number"), F.lit('"')), F.lit("null")),
+                    F.lit(',"applicant":{"names":'), names, F.lit(',"country":"'), F.col("country"), F.lit('","born":null}}'))
+    nested = F.to_json(value, {"ignoreNullFields": "false"})
+    with_names = F.concat(F.expr("substring(nested, 1, length(nested) - 2)"), F.lit(',"names":'), names, F.lit("}}"))
+    return cases.withColumn("nested", nested).select(
+        "case_id", canonical_json_text(with_names).alias("of_struct"), canonical_json_text(text).alias("of_text"))
+
+
 @add("h2_block_hash", ["fx_audit"],
      f"select seq, sha256({_ZERO} || '|' || {_TAIL}) as block from @fx_audit a")
 def _(audit):

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docuvet.functions.hashing import canonical_json
+from docuvet.functions.hashing import canonical_json, canonical_json_of, canonical_json_text
 from docuvet.operators import ledger, lifecycle, trainset
 from docuvet.plans import fixtures, screening
 from docuvet.session import scratch_dir
@@ -86,6 +86,18 @@ def test_canonical_json_equals_json_dumps(spark):
     assert got == [json.dumps(v, sort_keys=True, separators=(",", ":")) if v else "{}" for v in values]
 
 
+def test_nested_canonical_json_equals_json_dumps(spark):
+    values = [{"b": {"z": [1, {"y": None, "x": "é😀"}], "a": 1.5e300}, "a": [[], {}]}, {"k": 1e-7, "j": -0.0, "i": 10**25, "h": True}, [], {}, None]
+    dumped = lambda v: json.dumps(v, sort_keys=True, separators=(",", ":")) if v else "{}"
+    df = spark.createDataFrame([(json.dumps(v, ensure_ascii=False) if v is not None else None,) for v in values] + [("",), ("{oops",)], "t string")
+    got = [r.j for r in df.select(canonical_json_text(F.col("t")).alias("j")).collect()]
+    assert got == [dumped(v) for v in values] + ["{}", None]
+    typed = spark.createDataFrame([(({"b": 2, "a": 1}, [("x", None)], datetime.datetime(2026, 1, 2, 3, 4, 5)),), (None,)],
+                                  "v struct<m: map<string,int>, list: array<struct<q: string, p: string>>, at: timestamp>")
+    assert [r.j for r in typed.select(canonical_json_of(F.col("v")).alias("j")).collect()] == [
+        '{"at":"2026-01-02 03:04:05","list":[{"p":null,"q":"x"}],"m":{"a":1,"b":2}}', "{}"]
+
+
 def test_store_writes_are_idempotent(spark):
     held = spark.createDataFrame([(1, "a"), (2, "b")], "case_id int, v string")
     new = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], "case_id int, v string")
