@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
@@ -99,7 +101,17 @@ def _covered(entry: Column, query: Column) -> Column:
     return F.forall(entry, lambda e: F.exists(query, lambda q: _method(e, q).isNotNull()))
 
 
-def _name_candidates(entries: DataFrame, queries: DataFrame) -> DataFrame:
+def _coded_names(names: DataFrame, name: str, coded: str) -> DataFrame:
+    rows = names.select(F.col("name").alias(name)).distinct()
+    return rows.withColumn(coded, _coded(name_tokens(F.col(name)))).where(F.size(coded) > 0)
+
+
+def _entry_keys(e: DataFrame) -> DataFrame:
+    return e.select("entry_name", F.posexplode("e").alias("pos", "tok")).select(
+        "entry_name", "pos", F.explode(_keys(F.col("tok"))).alias("key"))
+
+
+def _reached(e: DataFrame, e_keys: DataFrame, q: DataFrame) -> DataFrame:
     """Matching pairs of distinct names: ``(entry_name, query_name, e, q)``.
 
     Every entry token has to match, so an entry can be reached through any one of
@@ -107,19 +119,8 @@ def _name_candidates(entries: DataFrame, queries: DataFrame) -> DataFrame:
     queries; common tokens then only verify and never generate pairs. Key counts
     are map-side combined, so a key held by a third of all names stays one row.
     """
-    q = (
-        queries.select(F.col("name").alias("query_name")).distinct()
-        .withColumn("q", _coded(name_tokens(F.col("query_name")))).where(F.size("q") > 0)
-    )
-    e = (
-        entries.select(F.col("name").alias("entry_name")).distinct()
-        .withColumn("e", _coded(name_tokens(F.col("entry_name")))).where(F.size("e") > 0)
-    )
     q_keys = q.select("query_name", F.explode(F.array_distinct(F.flatten(F.transform("q", _keys)))).alias("key"))
     counts = q_keys.groupBy("key").agg(F.count("*").alias("n"))
-    e_keys = e.select("entry_name", F.posexplode("e").alias("pos", "tok")).select(
-        "entry_name", "pos", F.explode(_keys(F.col("tok"))).alias("key")
-    )
     cost = (
         e_keys.join(counts, "key", "left")
         .groupBy("entry_name", "pos")
@@ -141,24 +142,25 @@ def _name_candidates(entries: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
+def _name_candidates(entries: DataFrame, queries: DataFrame) -> DataFrame:
+    e = _coded_names(entries, "entry_name", "e")
+    return _reached(e, _entry_keys(e), _coded_names(queries, "query_name", "q"))
+
+
 def name_match(entries: DataFrame, queries: DataFrame) -> DataFrame:
     """Pairs of distinct names in which every entry token finds a query token."""
     pairs = _name_candidates(entries, queries.withColumn("name", clean_query_name(F.col("name"))))
     return pairs.select("entry_name", "query_name", _entry_evidence(F.col("e"), F.col("q")).alias("match_evidence"))
 
 
-def number_match(entries: DataFrame, queries: DataFrame) -> DataFrame:
-    """Pairs of distinct cleaned numbers that are equal or one misread apart.
+def _number_keys(df: DataFrame, name: str) -> DataFrame:
+    one = df.select(F.col("number").alias(name)).where(F.col(name) != "").distinct()
+    keys = F.when(F.length(name) >= 6, deletions(F.col(name))).otherwise(F.array(name))
+    return one.select(name, F.explode(keys).alias("key"))
 
-    Equality has no length limit; one edit needs six characters on both sides.
-    """
 
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        one = df.select(F.col("number").alias(name)).where(F.col(name) != "").distinct()
-        keys = F.when(F.length(name) >= 6, deletions(F.col(name))).otherwise(F.array(name))
-        return one.select(name, F.explode(keys).alias("key"))
-
-    pairs = keyed(entries, "entry_number").join(keyed(queries, "query_number"), "key")
+def _equal_numbers(entry_keys: DataFrame, query_keys: DataFrame) -> DataFrame:
+    pairs = entry_keys.join(query_keys, "key")
     same = F.col("entry_number") == F.col("query_number")
     return (
         pairs.where(same | fuzzy_equal(F.col("entry_number"), F.col("query_number")))
@@ -167,6 +169,14 @@ def number_match(entries: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
+def number_match(entries: DataFrame, queries: DataFrame) -> DataFrame:
+    """Pairs of distinct cleaned numbers that are equal or one misread apart.
+
+    Equality has no length limit; one edit needs six characters on both sides.
+    """
+    return _equal_numbers(_number_keys(entries, "entry_number"), _number_keys(queries, "query_number"))
+
+
 def screening_identity(cases: DataFrame) -> DataFrame:
     """Name and number to screen: machine-read first, printed otherwise.
 
@@ -184,21 +194,53 @@ def screening_identity(cases: DataFrame) -> DataFrame:
     )
 
 
-def watchlist_screen(cases: DataFrame, entries: DataFrame, order: str = "entry_order") -> DataFrame:
-    """The first active entry each case matches, by number or by name.
+@dataclass
+class Watchlist:
+    """A version of the watchlist made ready: its active entries, and the keys of their distinct numbers and names."""
 
-    Entries count in ``order``; inside one entry the number is tried before the
-    name. Matching runs on distinct numbers and distinct names only: each distinct
-    value keeps its first entry, however many cases share it, and the hit is
-    attached to the cases afterwards. Cleaned cases, entries and the distinct values are
-    written once: several joins read them.
-    """
+    order: str
+    active: DataFrame
+    number_ranks: DataFrame
+    number_keys: DataFrame
+    name_ranks: DataFrame
+    names: DataFrame
+    name_keys: DataFrame
+
+
+def prepare_watchlist(entries: DataFrame, order: str = "entry_order") -> Watchlist:
+    """Everything of a screening that depends on the watchlist alone, written once for any number of screenings."""
     active = materialize(entries.where("active").select(
         order, "watchlist_id", "category", "severity",
         F.col("document_number").alias("entry_document"),
         alnum_upper(F.col("document_number")).alias("entry_number"),
         F.upper("name").alias("entry_name"), F.col("name").alias("listed_name"),
     ), "watchlist-entries")
+    number_ranks = active.groupBy("entry_number").agg(F.min(order).alias("rank"))
+    name_ranks = active.groupBy("entry_name").agg(F.min(order).alias("rank"))
+    names = _coded_names(name_ranks.withColumnRenamed("entry_name", "name"), "entry_name", "e")
+    return Watchlist(
+        order, active, number_ranks, _number_keys(number_ranks.withColumnRenamed("entry_number", "number"), "entry_number"),
+        name_ranks, names, _entry_keys(names))
+
+
+def keep_prepared(watchlist: Watchlist) -> Watchlist:
+    """The same with its keys written too, for a watchlist that many micro-batches meet."""
+    staged = {f: materialize(getattr(watchlist, f), f"watchlist-{f.replace('_', '-')}") for f in (
+        "number_ranks", "number_keys", "name_ranks", "names", "name_keys")}
+    return replace(watchlist, **staged)
+
+
+def watchlist_screen(cases: DataFrame, entries: DataFrame | Watchlist, order: str = "entry_order") -> DataFrame:
+    """The first active entry each case matches, by number or by name.
+
+    Entries count in ``order``; inside one entry the number is tried before the
+    name. Matching runs on distinct numbers and distinct names only: each distinct
+    value keeps its first entry, however many cases share it, and the hit is
+    attached to the cases afterwards. Cleaned cases, entries and the distinct values are
+    written once: several joins read them. ``entries`` may come prepared.
+    """
+    watchlist = entries if isinstance(entries, Watchlist) else prepare_watchlist(entries, order)
+    order, active = watchlist.order, watchlist.active
     asked = materialize(cases.select(
         "case_id",
         alnum_upper(F.coalesce("document_number", F.lit(""))).alias("query_number"),
@@ -206,19 +248,15 @@ def watchlist_screen(cases: DataFrame, entries: DataFrame, order: str = "entry_o
     ), "watchlist-asked")
     numbers = materialize(asked.select(F.col("query_number").alias("number")).distinct(), "watchlist-numbers")
     names = materialize(asked.select(F.col("query_name").alias("name")).distinct(), "watchlist-names")
-    first_by_number = active.groupBy("entry_number").agg(F.min(order).alias("rank"))
-    first_by_name = active.groupBy("entry_name").agg(F.min(order).alias("rank"))
     by_number = (
-        number_match(first_by_number.withColumnRenamed("entry_number", "number"),
-                     numbers)
-        .join(first_by_number, "entry_number")
+        _equal_numbers(watchlist.number_keys, _number_keys(numbers, "query_number"))
+        .join(watchlist.number_ranks, "entry_number")
         .groupBy("query_number")
         .agg(F.min("rank").alias("number_rank"))
     )
     by_name = (
-        _name_candidates(first_by_name.withColumnRenamed("entry_name", "name"),
-                         names)
-        .join(first_by_name, "entry_name")
+        _reached(watchlist.names, watchlist.name_keys, _coded_names(names, "query_name", "q"))
+        .join(watchlist.name_ranks, "entry_name")
         .groupBy("query_name")
         .agg(F.min_by(F.struct("rank", "e", "q"), "rank").alias("hit"))
         .select(

@@ -168,6 +168,33 @@ def test_image_files_become_manifests(spark, tmp_path):
     assert got == {"a.png": (True, None), "b.jpg": (False, "NOT_AN_IMAGE")}
 
 
+def test_an_entry_added_between_batches_hits_later_arrivals_only(spark, monkeypatch):
+    out = scratch_dir(spark, "versions")
+    shape = "entry_order int, watchlist_id string, name string, document_number string, severity string, category string, active boolean"
+    versions = watch_stream.watchlist_versions(f"{out}/list", shape)
+    publish = lambda n, rows: spark.createDataFrame(rows, shape).coalesce(1).write.parquet(f"{out}/list/version={n}")
+    old = (1, "W1", "JOHN SMITH", "A1234567", "HIGH", "c", True)
+    arrive = lambda n, rows: spark.createDataFrame(rows, "case_id long, full_name string, document_number string").coalesce(1).write.mode(
+        "append").parquet(f"{out}/in")
+    prepared = []
+    real = watch_stream.prepare_watchlist
+    monkeypatch.setattr(watch_stream, "prepare_watchlist", lambda e: prepared.append(1) or real(e))
+
+    def run(checkpoint="cp"):
+        source = spark.readStream.schema("case_id long, full_name string, document_number string").option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+        watch_stream.stream_watchlist(source, versions, f"{out}/hits", f"{out}/{checkpoint}").awaitTermination()
+        return sorted((r.case_id, r.watchlist_id) for r in spark.read.parquet(f"{out}/hits").collect())
+
+    publish(1, [old])
+    arrive(1, [(1, "John Smith", ""), (2, "Eve Adams", "")])
+    arrive(2, [(3, "Jon Smith", "")])
+    assert run() == [(1, "W1"), (3, "W1")] and len(prepared) == 1  # two micro-batches, one preparation
+    publish(2, [old, (2, "W2", "EVE ADAMS", "B7654321", "HIGH", "c", True)])
+    arrive(3, [(4, "Eve Adams", ""), (5, "x", "B7654322")])
+    assert run() == [(1, "W1"), (3, "W1"), (4, "W2"), (5, "W2")]
+    assert run("another checkpoint") == [(1, "W1"), (3, "W1"), (4, "W2"), (5, "W2")]  # all replayed, each against its version
+
+
 def test_replayed_batches_do_not_repeat_hits(spark, sf_dir):
     out = scratch_dir(spark, "replay")
     subjects = fixtures.load(spark, sf_dir, "fx_subjects")
