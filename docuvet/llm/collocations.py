@@ -22,8 +22,8 @@ SHARDS = 4
 BATCH_BYTES = 2 << 20
 #: Slots of the table of activation steps, one byte each: the bound of what is broadcast, whatever the corpus.
 SLOTS = 1 << 24
-#: Slots that words are counted in before anything else, one bit each once they are counted.
-WORD_SLOTS = 1 << 27
+#: Slots that words, then pairs of words, are counted in before anything else; one bit each once they are counted.
+PART_SLOTS = 1 << 27
 _NEVER = 255
 
 _FOLDED = bytearray(range(256))
@@ -103,16 +103,24 @@ def _runs(ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, length: int) -> t
     return order[first], np.diff(np.append(first, len(order)))
 
 
-def _levels(ids: np.ndarray, each: np.ndarray, usable: np.ndarray, ages: np.ndarray, longest: int, step: int):
+def _full(hashes: np.ndarray, bits: bytes | None) -> np.ndarray:
+    """Which hashes lie in full slots; without bits all do."""
+    if bits is None:
+        return np.ones(len(hashes), bool)
+    slot = (hashes & np.uint64(PART_SLOTS - 1)).astype(np.int32)
+    return np.frombuffer(bits, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
+
+
+def _levels(ids: np.ndarray, each: np.ndarray, bits: tuple[bytes | None, bytes | None], ages: np.ndarray, longest: int, step: int):
     """Per length: places of phrases whose parts are in ``ages`` by ``step``, their first step, and hashes by place.
 
-    ``each``: a hash of every word with its language; ``usable``: which words can be
-    frequent at all, the others end a phrase like a piece does. ``ages`` holds at a phrase's two
+    ``each``: a hash of every word with its language; ``bits``: the slots of words and of
+    pairs that can be frequent at all, the others end a phrase like a piece does. ``ages`` holds at a phrase's two
     slots the step at which it reached the threshold. Slots never change once set, so
     every task and step derives the same cycle for a phrase; a shared slot only lets a
     phrase start its (complete) cycle earlier.
     """
-    held = np.append(usable, False)[ids]
+    held = np.append(_full(each, bits[0]), False)[ids]
     inside = np.append(held, np.zeros(longest, bool))
     alive = np.flatnonzero(held)
     words = np.zeros(len(ids), np.uint64)
@@ -127,6 +135,9 @@ def _levels(ids: np.ndarray, each: np.ndarray, usable: np.ndarray, ages: np.ndar
             rolled = np.zeros(len(ids), np.uint64)
             rolled[alive] = mix(hashes[alive] * np.uint64(0x9E3779B97F4A7C15) + words[alive + length - 1], length)
             hashes = rolled
+        if length == 2:
+            possible = _full(hashes[alive], bits[1])
+            alive, begun = alive[possible], begun[possible]
         if not len(alive):
             return
         yield length, alive, begun, hashes
@@ -137,11 +148,12 @@ def _levels(ids: np.ndarray, each: np.ndarray, usable: np.ndarray, ages: np.ndar
         start[alive] = begun
 
 
-def count_batch(ids: np.ndarray, each: np.ndarray, usable: np.ndarray, ages: np.ndarray, step: int, shards: int, longest: int):
+def count_batch(ids: np.ndarray, each: np.ndarray, bits: tuple, ages: np.ndarray, step: int, shards: int, longest: int):
     """Hashes, numbers and cycles of the phrases whose cycle includes ``step``; a cycle is first step * 8 + length."""
-    for length, alive, begun, hashes in _levels(ids, each, usable, ages, longest, step):
+    for length, alive, begun, hashes in _levels(ids, each, bits, ages, longest, step):
         if length == 1:
             if step < shards:
+                usable = _full(each, bits[0])
                 yield each[usable], np.bincount(ids[alive], minlength=len(each))[usable], np.ones(int(usable.sum()), np.int64)
             continue
         counted = begun + shards > step
@@ -159,8 +171,8 @@ def count_phrases(cases: DataFrame, threshold: int = 100, longest: int = 5, shar
     its parts of one word less have reached the threshold, each for exactly one cycle.
     Counting ends when nothing has reached the threshold for a cycle.
 
-    Words are first counted by slot: those of a slot that stays below the threshold
-    cannot be frequent and are left out of the scans. Scans count hashes of phrases, and
+    Words, then pairs of words are first counted by slot: those of a slot that stays below
+    the threshold cannot be frequent and are left out of the scans. Scans count hashes of phrases, and
     hashes that share a value can only count too much. What they find frequent is then counted by its words in one last scan, whose
     numbers are the result. Counts stay in Spark, grouped where they are made before they
     are shuffled; each scan's state is written to the shared folder and replaces the one
@@ -175,40 +187,46 @@ def count_phrases(cases: DataFrame, threshold: int = 100, longest: int = 5, shar
         "shards", ["shard"])
     spark = cases.sparkSession
 
-    def by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def summed() -> Iterator[pa.RecordBatch]:
-            used, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            sums = np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
-            held.clear()
-            for lo in range(0, len(used), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(used[lo:lo + 100_000]), pa.array(sums[lo:lo + 100_000])], ["slot", "n"])
-
-        for batch in batches:
-            for row in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[row].as_py(), np.int32)
-                each = np.frombuffer(batch.column("hashes")[row].as_py(), np.uint64)
-                held.append((word_slots(each), np.bincount(ids[ids >= 0], minlength=len(each))))
-                if sum(len(x) for x, _ in held) > 1_000_000:
-                    yield from summed()
-        if held:
-            yield from summed()
+    def slot_bits(read_hashes) -> bytes:
+        """One bit for each slot that holds ``threshold`` occurrences or more of what ``read_hashes`` finds in a packed row."""
 
-    def word_slots(each: np.ndarray) -> np.ndarray:
-        return (each & np.uint64(WORD_SLOTS - 1)).astype(np.int32)
+        def by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    # of all slots only the full ones come to the driver, as one bit each they go to the tasks
-    full = packed.select("ids", "hashes").mapInArrow(tidy(by_slot), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(
-        F.col("n") >= threshold).select("slot").toPandas()["slot"].to_numpy(np.int64)
-    possible = np.zeros(WORD_SLOTS >> 3, np.uint8)
-    np.bitwise_or.at(possible, full >> 3, (1 << (full & 7)).astype(np.uint8))
-    bits = spark.sparkContext.broadcast(possible.tobytes())
-
-    def usable_words(each: np.ndarray, bits: bytes) -> np.ndarray:
-        slot = word_slots(each)
-        return np.frombuffer(bits, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
+            def summed() -> Iterator[pa.RecordBatch]:
+                used, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+                sums = np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+                held.clear()
+                for lo in range(0, len(used), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(used[lo:lo + 100_000]), pa.array(sums[lo:lo + 100_000])], ["slot", "n"])
 
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    hashes, numbers = read_hashes(
+                        np.frombuffer(batch.column("ids")[row].as_py(), np.int32), np.frombuffer(batch.column("hashes")[row].as_py(), np.uint64))
+                    held.append(((hashes & np.uint64(PART_SLOTS - 1)).astype(np.int32), numbers))
+                    if sum(len(x) for x, _ in held) > 1_000_000:
+                        yield from summed()
+            if held:
+                yield from summed()
+
+        # of all slots only the full ones come to the driver, as one bit each they go to the tasks
+        full = packed.select("ids", "hashes").mapInArrow(tidy(by_slot), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(
+            F.col("n") >= threshold).select("slot").toPandas()["slot"].to_numpy(np.int64)
+        bits = np.zeros(PART_SLOTS >> 3, np.uint8)
+        np.bitwise_or.at(bits, full >> 3, (1 << (full & 7)).astype(np.uint8))
+        return bits.tobytes()
+
+    word_bits = spark.sparkContext.broadcast(slot_bits(lambda ids, each: (each, np.bincount(ids[ids >= 0], minlength=len(each)))))
+
+    def pairs_of(ids: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = np.zeros(0, np.uint64)
+        for length, alive, _, hashes in _levels(ids, each, (word_bits.value, None), np.zeros(1, np.uint8), 2, 1):
+            if length == 2:
+                found = hashes[alive]
+        return np.unique(found, return_counts=True)
+
+    pair_bits = spark.sparkContext.broadcast(slot_bits(pairs_of))
     ages = np.full(slots, _NEVER, np.uint8)
     begun = F.floor(F.col("cycle") / 8)
     state, found = None, []
@@ -224,29 +242,24 @@ def count_phrases(cases: DataFrame, threshold: int = 100, longest: int = 5, shar
                 for row in range(batch.num_rows):
                     ids = np.frombuffer(batch.column("ids")[row].as_py(), np.int32)
                     each = np.frombuffer(batch.column("hashes")[row].as_py(), np.uint64)
-                    usable = usable_words(each, bits.value)
-                    for hashes, numbers, cycle in count_batch(ids, each, usable, table, step, shards, longest):
+                    for hashes, numbers, cycle in count_batch(ids, each, (word_bits.value, pair_bits.value), table, step, shards, longest):
                         for lo in range(0, len(hashes), 100_000):
                             part = slice(lo, lo + 100_000)
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array(hashes[part].view(np.int64)), pa.array(cycle[part].astype(np.int32)), pa.array(numbers[part])],
-                                ["hash", "cycle", "fresh"])
+                                ["hash", "cycle", "occurrences"])
 
         going = packed.where(F.col("shard") == step % shards).select("ids", "hashes").mapInArrow(
-            tidy(scan), "hash long, cycle int, fresh long").withColumn("before", F.lit(0).cast("long"))
+            tidy(scan), "hash long, cycle int, occurrences long")
         if state is not None:
-            going = going.unionByName(state.where(begun + shards > step).select(
-                "hash", "cycle", F.lit(0).cast("long").alias("fresh"), F.col("occurrences").alias("before")))
-        sums = going.groupBy("hash").agg(F.max("cycle").alias("cycle"), F.sum("fresh").alias("fresh"), F.sum("before").alias("before"))
-        occurrences = F.col("fresh") + F.col("before")
-        previous, state = state, materialize(sums.select(
-            "hash", "cycle", occurrences.alias("occurrences"),
-            ((F.col("before") < threshold) & (occurrences >= threshold)).alias("reached")), "phrases")
+            going = going.unionByName(state.where(begun + shards > step))
+        sums = going.groupBy("hash").agg(F.max("cycle").alias("cycle"), F.sum("occurrences").alias("occurrences"))
+        previous, state = state, materialize(sums, "phrases")
         shipped.destroy()
         if previous is not None:
             discard(previous)
         # bounded by the slots: at most one number for each
-        reached = state.where(F.col("reached") & (F.col("cycle") % 8 < longest))
+        reached = state.where((F.col("occurrences") >= threshold) & (F.col("cycle") % 8 < longest))
         changed = reached.select(F.explode(_slot_columns(slots)).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)
         changed = changed[ages[changed] == _NEVER]
         if len(changed):
@@ -264,30 +277,43 @@ def count_phrases(cases: DataFrame, threshold: int = 100, longest: int = 5, shar
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shipped.value, np.uint8)
+        keys = ["language", "phrase", "length"]
+        held: list[pa.RecordBatch] = []
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            sums = pa.Table.from_batches(held).group_by(keys).aggregate([("occurrences", "sum")])
+            held.clear()
+            yield from sums.select([*keys, "occurrences_sum"]).rename_columns([*keys, "occurrences"]).to_batches(100_000)
+
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, each, spoken = (
                     np.frombuffer(batch.column(c)[row].as_py(), t) for c, t in (("ids", np.int32), ("hashes", np.uint64), ("spoken", np.int32)))
                 languages, words = batch.column("languages")[row].values, batch.column("words")[row].values
                 sums = np.bincount(spoken[ids[ids >= 0]], minlength=len(languages))
-                yield pa.RecordBatch.from_arrays(
+                held.append(pa.RecordBatch.from_arrays(
                     [languages, pa.nulls(len(sums), pa.string()), pa.array(np.zeros(len(sums), np.int32)), pa.array(sums.astype(np.int64))],
-                    ["language", "phrase", "length", "occurrences"])
-                for length, alive, _, hashes in _levels(ids, each, usable_words(each, bits.value), table, longest, 1):
+                    [*keys, "occurrences"]))
+                for length, alive, _, hashes in _levels(ids, each, (word_bits.value, pair_bits.value), table, longest, 1):
                     one, two = _slots(hashes[alive], slots)
                     first, numbers = _runs(ids, hashes, alive[(table[one] == 0) & (table[two] == 0)], length)
                     spelled = [words.take(pa.array(ids[first + j])) for j in range(length)]
-                    yield pa.RecordBatch.from_arrays([
+                    held.append(pa.RecordBatch.from_arrays([
                         languages.take(pa.array(spoken[ids[first]])), pc.binary_join_element_wise(*spelled, " ") if length > 1 else spelled[0],
                         pa.array(np.full(len(first), length, np.int32)), pa.array(numbers.astype(np.int64)),
-                    ], ["language", "phrase", "length", "occurrences"])
+                    ], [*keys, "occurrences"]))
+                if sum(x.num_rows for x in held) > 500_000:
+                    yield from summed()
+        if held:
+            yield from summed()
 
     named = materialize(
         packed.mapInArrow(tidy(name), "language string, phrase string, length int, occurrences long")
         .groupBy("language", "phrase", "length").agg(F.sum("occurrences").alias("occurrences")).where(
             (F.col("length") == 0) | (F.col("occurrences") >= threshold)), "candidates")
     shipped.destroy()
-    bits.destroy()
+    word_bits.destroy()
+    pair_bits.destroy()
     for used in (state, packed, *found):
         discard(used)
     return named.where("length > 0"), named.where("length = 0").select("language", F.col("occurrences").alias("n_words"))
