@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, mrz as zone
 from ..functions.text import body_of, lines_of, printed_date, value_after_fuzzy_label, value_after_label
 from ..operators import extract, mrz
-from ..sources import annotations, manifests, store
+from ..sources import annotations, manifests, published, store
 from ..session import scratch_dir
 from .harness import Catalogue, py_round
 
@@ -149,9 +149,11 @@ def _(watchlist, supplier):
     return store.insert_if_absent(existing, incoming.unionByName(incoming), "watchlist_id")
 
 
-@add("a8_replace_per_case", ["fx_checks", "fx_measures"],
-     """select case_id, label, status from @fx_checks c where case_id not in (select case_id from @fx_measures m where mean_ela > 0.22)
- union all select case_id, 'Error Level Analysis', 'FAIL' from @fx_measures m where mean_ela > 0.22""")
+_REPLACED = """select case_id, label, status from @fx_checks c where case_id not in (select case_id from @fx_measures m where mean_ela > 0.22)
+ union all select case_id, 'Error Level Analysis', 'FAIL' from @fx_measures m where mean_ela > 0.22"""
+
+
+@add("a8_replace_per_case", ["fx_checks", "fx_measures"], _REPLACED)
 def _(checks, measures):
     new = measures.where("mean_ela > 0.22").select(
         "case_id", F.lit("Error Level Analysis").alias("label"), F.lit("FAIL").alias("status")
@@ -159,6 +161,17 @@ def _(checks, measures):
     return store.replace_per_case(checks.select("case_id", "label", "status"), new)
 
 
+@add("a8_published_replacement", ["fx_checks", "fx_measures"], _REPLACED)
+def _(checks, measures):
+    spark, schema = checks.sparkSession, "case_id long, label string, status string"
+    root = scratch_dir(spark, "published")
+    typed = lambda df: df.select(F.col("case_id").cast("long").alias("case_id"), "label", "status")
+    published.publish(typed(checks), root, buckets=16)
+    new = measures.where("mean_ela > 0.22").select("case_id", F.lit("Error Level Analysis").alias("label"), F.lit("FAIL").alias("status"))
+    published.replace_cases(typed(new), root, schema, buckets=16)
+    return published.read_published(spark, root, schema)
+
+
 _LABELLED = """select path, meta is not null as has_sidecar, case when meta is null then regexp_matches(lower(path), 'fraud|forg')
  when not json_valid(meta) then false
  else coalesce(json_extract_string(meta, '$.fraud_type'), '') <> '' or coalesce(json_extract_string(meta, '$.is_fraud'), 'false') <> 'false'

@@ -65,6 +65,13 @@ def materialize(df, purpose: str, folders: list[str] | None = None):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of any file system Spark reaches; none if it does not exist."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+
+
 def discard(df) -> None:
     """Delete the staged copy that ``df`` reads, once nothing will read it any more."""
     spark = df.sparkSession

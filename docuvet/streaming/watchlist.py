@@ -8,23 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.matching import keep_prepared, prepare_watchlist, watchlist_screen
+from ..session import children
 
 #: Names the current version of the watchlist, and reads one.
 Versions = tuple[Callable[[SparkSession], int], Callable[[SparkSession, int], DataFrame]]
 
 
-def _children(spark: SparkSession, folder: str) -> list[str]:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
-
-
 def watchlist_versions(folder: str, schema: str) -> Versions:
     """Versions kept as folders ``version=N``; a folder counts once its writer has left ``_SUCCESS`` in it."""
 
     def current(spark: SparkSession) -> int:
-        numbers = [int(n.removeprefix("version=")) for n in _children(spark, folder) if n.startswith("version=")]
-        done = [n for n in numbers if "_SUCCESS" in _children(spark, f"{folder}/version={n}")]
+        numbers = [int(n.removeprefix("version=")) for n in children(spark, folder) if n.startswith("version=")]
+        done = [n for n in numbers if "_SUCCESS" in children(spark, f"{folder}/version={n}")]
         if not done:
             raise FileNotFoundError(f"no finished version in {folder}")
         return max(done)
@@ -51,7 +46,7 @@ def stream_watchlist(
         if not isinstance(entries, tuple):
             return 0
         noted = f"{out}-versions/batch_id={batch_id}"
-        if "_SUCCESS" in _children(spark, noted):
+        if "_SUCCESS" in children(spark, noted):
             return spark.read.schema("version long").parquet(noted).first()["version"]
         version = current(spark)
         spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("overwrite").parquet(noted)
