@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ FAN = 16
 #: Bytes of text that share one table of links.
 BATCH_BYTES = 2 << 20
 #: Distinct units that a worker remembers at once.
-REMEMBERED = 150_000
+REMEMBERED = 50_000
 #: Units that one line of a tokenizer's input holds.
 TOGETHER = 200
 #: Groups with more links are linked id by id, not token by token.
@@ -150,9 +151,10 @@ class Aligner:
             for a, i, b, j in zip(*(x.tolist() for x in (start[0], n[0], start[1], n[1])))]
         at = (np.cumsum(groups) - groups).tolist()
         rows = zip(units, counts[0].tolist(), counts[1].tolist(), groups.tolist(), linked.tolist(), at, edges[:-1], edges[1:])
+        pairs, oftens = pair.tobytes(), often.tobytes()
         for u, n_a, n_b, n_groups, n_links, g, lo, hi in rows:
-            self.known[u] = (
-                n_a, n_b, n_groups, n_links, ";".join(written[g:g + n_groups]).encode(), pair[lo:hi].tobytes(), often[lo:hi].tobytes())
+            told = written[g] if n_groups == 1 else ";".join(written[g:g + n_groups])
+            self.known[u] = (n_a, n_b, n_groups, n_links, told.encode(), pairs[8 * lo:8 * hi], oftens[8 * lo:8 * hi])
 
     def align(self, texts: list[str]) -> dict:
         """Counts, written groups and the link tables of many texts; an empty text has no units."""
@@ -160,8 +162,8 @@ class Aligner:
             self.known = {u: self.known[u] for u in self.again}
             self.again = set()
         split = [self.cut.split(t) if t else [] for t in texts]
-        place: dict[str, int] = {}
-        rows = [np.array([place.setdefault(u, len(place)) for u in units], np.int64) for units in split]
+        place: defaultdict[str, int] = defaultdict(count().__next__)
+        rows = [np.fromiter(map(place.__getitem__, units), np.int64, len(units)) for units in split]
         del split
         new = [u for u in place if u not in self.known]
         self.again.update(self.known.keys() & place.keys())
@@ -170,8 +172,9 @@ class Aligner:
         found = [self.known[u] for u in place]
         spelled = np.array([e is not None for e in found], bool)
         found = [e or (0, 0, 0, 0, b"", b"", b"") for e in found]
-        per_unit = np.array([e[:4] for e in found], np.int64).reshape(-1, 4)
-        written = [e[4] for e in found]
+        columns = list(zip(*found)) if found else [()] * 7
+        per_unit = np.array(columns[:4], np.int64).T
+        written = columns[4]
         valid = np.array([len(r) > 0 and bool(spelled[r].all()) for r in rows], bool)
         rows = [r if v else r[:0] for r, v in zip(rows, valid)]
         sizes = np.array(list(map(len, rows)), np.int64)
@@ -180,14 +183,14 @@ class Aligner:
         sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(per_unit[units], axis=0)])
         stop = np.cumsum(sizes)
         both, often = np.unique(text * max(len(found), 1) + units, return_counts=True)
-        pairs = np.frombuffer(b"".join(e[5] for e in found), np.int64)
+        pairs = np.frombuffer(b"".join(columns[5]), np.int64)
         pair_names, pair_of = np.unique(pairs, return_inverse=True)
         return {
             "valid": valid, "counts": sums[stop] - sums[stop - sizes],
             "written": lambda i: b";".join(map(written.__getitem__, rows[i].tolist())),
             "text": both // max(len(found), 1), "unit": both % max(len(found), 1), "often": often,
-            "unit_pairs": np.array([len(e[5]) // 8 for e in found], np.int64), "pair_of": pair_of,
-            "pair_often": np.frombuffer(b"".join(e[6] for e in found), np.int64), "pairs": pair_names,
+            "unit_pairs": np.fromiter(map(len, columns[5]), np.int64, len(found)) // 8, "pair_of": pair_of,
+            "pair_often": np.frombuffer(b"".join(columns[6]), np.int64), "pairs": pair_names,
         }
 
 
