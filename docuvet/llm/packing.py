@@ -117,7 +117,7 @@ class Encoder:
 
 
 def tokenize_cases(cases: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-                   remember: int = REMEMBERED) -> DataFrame:
+                   remember: int = REMEMBERED, lasting: bool = True) -> DataFrame:
     """Token pieces of document analyses.
 
     ``cases``: case_id, raw_text (null: empty); other columns are ignored.
@@ -125,11 +125,12 @@ def tokenize_cases(cases: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     case_id, piece (from 0), start (ids of the text before it), length and ids
     (little-endian unsigned 32-bit). Each text ends with ``end_id``; texts longer than
     ``capacity`` ids are cut into pieces of it, the last one shorter. A worker keeps the
-    ids of about ``remember`` words, which trades its memory for speed.
+    ids of about ``remember`` words, which trades its memory for speed; unless ``lasting``
+    it drops them and the tokenizer after each task, for jobs that go on with other work.
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer_path)
+        encoder = Encoder.of(tokenizer_path) if lasting else Encoder(tokenizer_path)
         close = np.array([end_id], np.uint32).tobytes()
         for keys, texts in text_rows(batches, "case_id", "raw_text", 2 << 20):
             rows: list[list] = [[], [], [], [], []]
@@ -335,8 +336,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_cases(cases: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-               remember: int = REMEMBERED) -> DataFrame:
+               remember: int = REMEMBERED, lasting: bool = True) -> DataFrame:
     """Tokenize and place document analyses: case_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = tokenize_cases(cases, tokenizer_path, capacity, end_id, remember)
+    pieces = tokenize_cases(cases, tokenizer_path, capacity, end_id, remember, lasting)
     pieces = materialize(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return pack_pieces(pieces, capacity)
